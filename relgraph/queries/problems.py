@@ -5,14 +5,114 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from relgraph.operators.hierarchy import Hierarchy
 from relgraph.operators.intervals import interval_gaps, interval_periods
 from relgraph.operators.orphans import orphan_references, orphan_report, valid_versions
+from relgraph.operators.units import BASES, base_of, factor, linked_measures, noted_unit, pairwise_scales, recorded_units, spelled_unit
 from relgraph.operators.skew import heavy_keys, key_profile, running_by_key
 from relgraph.sources.tables import table
 
 #: p3: a key is heavy from this share of its table's rows.
 HEAVY_SHARE = 0.02
 
+# p1 -----------------------------------------------------------------------------------------------------------------
+
+
+def _hierarchy(spark: SparkSession, d: str) -> Hierarchy:
+    return Hierarchy(table(spark, d, "bill_of_materials").select("parent_part_id", "child_part_id"), "parent_part_id", "child_part_id")
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return _hierarchy(spark, d).cycles().select("cycle_id", F.col("node").alias("part_id"))
+
+
+_P1_SQL = """
+WITH RECURSIVE e AS (SELECT DISTINCT CAST(parent_part_id AS BIGINT) AS a, CAST(child_part_id AS BIGINT) AS b FROM bill_of_materials
+  WHERE parent_part_id IS NOT NULL AND child_part_id IS NOT NULL),
+r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)"""
+P1_FOUND_SQL = f"""{_P1_SQL} SELECT min(x.b) AS cycle_id, x.a AS part_id FROM r AS x JOIN r AS y ON x.a = y.b AND x.b = y.a GROUP BY x.a"""
+
+
+def p1_below(spark: SparkSession, d: str) -> DataFrame:
+    return _hierarchy(spark, d).below().select(F.col("node").alias("part_id"), F.col("below").alias("below_id"))
+
+
+P1_BELOW_SQL = f"{_P1_SQL} SELECT a AS part_id, b AS below_id FROM r"
+
+_P1_PLACES = f"""{_P1_SQL},
+g AS (SELECT x.a AS node, min(x.b) AS place FROM r AS x JOIN r AS y ON x.a = y.b AND x.b = y.a GROUP BY x.a),
+n AS (SELECT u.node, coalesce(g.place, u.node) AS place FROM (SELECT a AS node FROM e UNION SELECT b FROM e) AS u LEFT JOIN g ON g.node = u.node),
+l AS (SELECT DISTINCT n1.place AS a, n2.place AS b FROM e JOIN n AS n1 ON n1.node = e.a JOIN n AS n2 ON n2.node = e.b WHERE n1.place <> n2.place),
+t AS (SELECT DISTINCT place FROM n WHERE place NOT IN (SELECT b FROM l))"""
+
+
+def p1_roots(spark: SparkSession, d: str) -> DataFrame:
+    return _hierarchy(spark, d).roots().select(F.col("node").alias("part_id"), F.col("root").alias("root_id"))
+
+
+P1_ROOTS_SQL = f"""{_P1_PLACES},
+w AS (SELECT place AS root, place FROM t UNION SELECT w.root, l.b FROM w JOIN l ON l.a = w.place)
+SELECT n.node AS part_id, w.root AS root_id FROM w JOIN n USING (place)"""
+
+
+def p1_nodes(spark: SparkSession, d: str) -> DataFrame:
+    return _hierarchy(spark, d).nodes().select(
+        F.col("node").alias("part_id"), "in_cycle", "depth", "max_depth", F.col("n_paths").cast("string").alias("n_paths"), F.col("root").alias("root_id"), F.array_join("path", "/").alias("path")
+    )
+
+
+P1_NODES_SQL = f"""{_P1_PLACES},
+w AS (SELECT place, [place] AS path FROM t UNION ALL SELECT l.b, list_append(w.path, l.b) FROM w JOIN l ON l.a = w.place),
+m AS (SELECT place, min(len(path)) - 1 AS depth, max(len(path)) - 1 AS max_depth, count(*) AS n_paths, arg_min(path, (len(path), path)) AS path FROM w GROUP BY place)
+SELECT n.node AS part_id, n.node IN (SELECT node FROM g) AS in_cycle, CAST(depth AS INTEGER) AS depth, CAST(max_depth AS INTEGER) AS max_depth,
+  CAST(n_paths AS VARCHAR) AS n_paths, path[1] AS root_id, array_to_string(path, '/') AS path FROM m JOIN n USING (place)"""
+
+
+def p1_back_edges(spark: SparkSession, d: str) -> DataFrame:
+    return _hierarchy(spark, d).back_edges.select(F.col("src").alias("parent_part_id"), F.col("dst").alias("child_part_id"))
+
+
+# p2 -----------------------------------------------------------------------------------------------------------------
+
+FIELD_OF_BASE = {"kg": "unit_weight_kg", "m": "unit_length_m"}
+
+
+def _p2_quantities(spark: SparkSession, d: str) -> DataFrame:
+    bom = table(spark, d, "bill_of_materials").select("id", "quantity", "unit", "notes")
+    return bom.select("id", "quantity", F.coalesce(spelled_unit(F.col("unit")), noted_unit(F.col("notes"))).alias("unit"))
+
+
+def _p2_measures(spark: SparkSession, d: str) -> DataFrame:
+    cols = ["id", "description", "weight_kg", "unit_weight_kg", "unit_length_m"]
+    field = F.when(F.col("base") == "kg", FIELD_OF_BASE["kg"]).otherwise(FIELD_OF_BASE["m"])
+    return recorded_units(table(spark, d, "parts").select(*cols)).withColumn("field_name", field)
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    quantities = _p2_quantities(spark, d).select(F.lit("bill_of_materials").alias("table_name"), F.lit("quantity").alias("field_name"), F.col("id").alias("record_id"), "unit")
+    uoms = table(spark, d, "parts").select(F.lit("parts").alias("table_name"), F.lit("base_uom").alias("field_name"), F.col("id").alias("record_id"), spelled_unit(F.col("base_uom")).alias("unit"))
+    measures = _p2_measures(spark, d).select(F.lit("parts").alias("table_name"), "field_name", F.col("id").alias("record_id"), "unit")
+    rows = quantities.unionByName(uoms).unionByName(measures)
+    return rows.where(F.col("unit").isNotNull() & ~F.col("unit").isin(*BASES)).withColumnRenamed("unit", "recorded_unit").distinct()
+
+
+def p2_values(spark: SparkSession, d: str) -> DataFrame:
+    """Every value in its base unit; base_unit and value are null where nothing tells the unit."""
+    unit = F.col("unit")
+    quantities = _p2_quantities(spark, d).select(
+        F.lit("bill_of_materials").alias("table_name"), F.lit("quantity").alias("field_name"), F.col("id").alias("record_id"),
+        F.col("quantity").cast("double").alias("recorded"), unit, base_of(unit).alias("base_unit"), (F.col("quantity") * factor(unit)).alias("value"),
+    )
+    measures = _p2_measures(spark, d).select(
+        F.lit("parts").alias("table_name"), "field_name", F.col("id").alias("record_id"), "recorded", unit, F.when(unit.isNotNull(), F.col("base")).alias("base_unit"), "value"
+    )
+    return quantities.unionByName(measures).distinct()
+
+
+def p2_scales(spark: SparkSession, d: str) -> DataFrame:
+    return pairwise_scales(linked_measures(table(spark, d, "parts")))
+
+
 # p3 -----------------------------------------------------------------------------------------------------------------
 
 KEYED = (("supplier_relationships", "buyer_id"), ("bill_of_materials", "child_part_id"))
@@ -165,6 +265,14 @@ P6_REPORT_SQL = f"""{_P6_SQL} SELECT table_name, field_name, strftime(created, '
 
 
 QUERIES = {
+    "p1_found": p1_found,
+    "p1_nodes": p1_nodes,
+    "p1_roots": p1_roots,
+    "p1_below": p1_below,
+    "p1_back_edges": p1_back_edges,
+    "p2_found": p2_found,
+    "p2_values": p2_values,
+    "p2_scales": p2_scales,
     "p3_found": p3_found,
     "p3_buyers": p3_buyers,
     "p3_children": p3_children,
@@ -175,6 +283,10 @@ QUERIES = {
     "p6_report": p6_report,
 }
 ORACLE = {
+    "p1_found": P1_FOUND_SQL,
+    "p1_nodes": P1_NODES_SQL,
+    "p1_roots": P1_ROOTS_SQL,
+    "p1_below": P1_BELOW_SQL,
     "p3_found": P3_FOUND_SQL,
     "p3_buyers": P3_BUYERS_SQL,
     "p3_children": P3_CHILDREN_SQL,

@@ -11,7 +11,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -31,10 +31,10 @@ def scratch_root(spark: SparkSession) -> str:
 
 
 class Scratch:
-    """A written DataFrame: ``df`` reads it, ``rows`` is its row count, ``drop`` deletes its files."""
+    """A written DataFrame: ``df`` reads it, ``rows`` is its row count, ``seen`` what else was observed, ``drop`` deletes it."""
 
-    def __init__(self, spark: SparkSession, df: DataFrame, path: str, rows: int):
-        self.spark, self.df, self.path, self.rows = spark, df, path, rows
+    def __init__(self, spark: SparkSession, df: DataFrame, path: str, seen: dict):
+        self.spark, self.df, self.path, self.rows, self.seen = spark, df, path, int(seen["n"]), seen
 
     def drop(self) -> None:
         jvm, jsc = self.spark._jvm, self.spark.sparkContext._jsc
@@ -42,13 +42,17 @@ class Scratch:
         path.getFileSystem(jsc.hadoopConfiguration()).delete(path, True)
 
 
-def materialize(df: DataFrame) -> Scratch:
-    """Write df once to the shared folder and return a handle that reads it back with a one-step lineage."""
+def materialize(df: DataFrame, **observed: Column) -> Scratch:
+    """Write df once to the shared folder and return a handle that reads it back with a one-step lineage.
+
+    observed: aggregates to take of the rows as they are written.
+    """
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/relgraph-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     seen = Observation()
-    df.observe(seen, F.count(F.lit(1)).alias("n")).write.option("compression", "zstd").parquet(path)
-    return Scratch(spark, spark.read.schema(df.schema).parquet(path), path, int(seen.get["n"]))
+    counted = df.observe(seen, F.count(F.lit(1)).alias("n"), *[c.alias(k) for k, c in observed.items()])
+    counted.write.option("compression", "zstd").parquet(path)
+    return Scratch(spark, spark.read.schema(df.schema).parquet(path), path, dict(seen.get))
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
