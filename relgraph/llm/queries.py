@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from relgraph.llm.leakage import leaks
+from relgraph.llm.reading import cross_validation, reading_levels
 from relgraph.llm.tokenizer import encode_corpus
 from relgraph.sources.tables import table
 
@@ -17,5 +18,17 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return leaks(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_items"), "item_id", "text")
 
 
-QUERIES = {"p7_ids": p7_ids, "p8_found": p8_found}
+def _rated(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return table(spark, d, "documents").select("doc_id", "text", "lang", "source"), table(spark, d, "reading_ratings").select("doc_id", "rater", "reading_level")
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return reading_levels(*_rated(spark, d))
+
+
+def p9_cross_validation(spark: SparkSession, d: str) -> DataFrame:
+    return cross_validation(*_rated(spark, d))
+
+
+QUERIES = {"p7_ids": p7_ids, "p8_found": p8_found, "p9_found": p9_found, "p9_cross_validation": p9_cross_validation}
 ORACLE: dict[str, str] = {}
