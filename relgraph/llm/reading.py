@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -213,10 +214,10 @@ def reading_levels(docs: DataFrame, ratings: DataFrame) -> DataFrame:
     is broadcast; only the rated sample, at most MOST_RATED documents, comes to the driver.
     """
     model, _ = fit_on(docs, ratings)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(cloudpickle.dumps(model))
 
     def predict(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m = shared.value
+        m = cloudpickle.loads(shared.value)
         for pdf in batches:
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "reading_level": m.level(m.score(list(pdf["text"])))})
 
