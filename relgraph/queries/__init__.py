@@ -1,8 +1,8 @@
 """Registry of named queries and their SQL."""
 
-from relgraph.queries import problems
+from relgraph.queries import catalogue, graph, problems
 
-MODULES = [problems]
+MODULES = [problems, graph, catalogue]
 
 
 def registry() -> tuple[dict, dict]:
