@@ -35,7 +35,7 @@ class Hierarchy:
         return self.groups.select(F.col("component").alias("cycle_id"), "node")
 
     def _condense(self) -> tuple[DataFrame, DataFrame]:
-        """(node, place) of every node, and the links (src, dst) between places, an acyclic graph."""
+        """(node, place) of every node, and the links (src, dst, more) between places, an acyclic graph."""
         if self._places is None:
             nodes = self.edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
             places = nodes.join(self.groups, "node", "left").select("node", F.coalesce("component", "node").alias("place"))
@@ -48,7 +48,10 @@ class Hierarchy:
                 .select(F.col("a").alias("src"), F.col("b").alias("dst"))
                 .distinct()
             )
-            self._links = materialize(links).df
+            # Whether a link leads on: rows that end at the bottom are written, but not joined again.
+            links = materialize(links).df
+            on = links.select(F.col("src").alias("dst"), F.lit(True).alias("on")).distinct()
+            self._links = materialize(links.join(on, "dst", "left").select("src", "dst", F.coalesce("on", F.lit(False)).alias("more"))).df
         return self._places, self._links
 
     def _levels(self, start: DataFrame, step) -> DataFrame:
@@ -57,7 +60,7 @@ class Hierarchy:
         held = links.repartition("src").persist()
         levels = [materialize(start)]
         while levels[-1].rows:
-            levels.append(materialize(step(levels[-1].df, held)))
+            levels.append(materialize(step(levels[-1].df.where("more"), held)))
         held.unpersist()
         return reduce(DataFrame.unionAll, [x.df for x in levels])
 
@@ -73,12 +76,12 @@ class Hierarchy:
         a cycle standing under the cycle's id; root: its first element.
         """
         places, _ = self._condense()
-        start = self._roots().select("place", F.lit(0).alias("depth"), F.array("place").alias("path"), F.lit(1).cast("decimal(38,0)").alias("n_paths"))
+        start = self._roots().select("place", F.lit(0).alias("depth"), F.array("place").alias("path"), F.lit(1).cast("decimal(38,0)").alias("n_paths"), F.lit(True).alias("more"))
 
         def step(level: DataFrame, links: DataFrame) -> DataFrame:
             joined = level.join(links, level["place"] == links["src"])
-            out = joined.groupBy(F.col("dst").alias("place")).agg(F.min(F.col("depth") + 1).alias("depth"), F.min("path").alias("path"), F.sum("n_paths").cast("decimal(38,0)").alias("n_paths"))
-            return out.select("place", "depth", F.array_append("path", F.col("place")).alias("path"), "n_paths")
+            out = joined.groupBy(F.col("dst").alias("place"), links["more"]).agg(F.min(F.col("depth") + 1).alias("depth"), F.min("path").alias("path"), F.sum("n_paths").cast("decimal(38,0)").alias("n_paths"))
+            return out.select("place", "depth", F.array_append("path", F.col("place")).alias("path"), "n_paths", "more")
 
         per = self._levels(start, step).groupBy("place").agg(
             F.min("depth").alias("depth"), F.max("depth").alias("max_depth"), F.sum("n_paths").cast("decimal(38,0)").alias("n_paths"), F.min_by("path", "depth").alias("path")
@@ -91,12 +94,12 @@ class Hierarchy:
     def _place_pairs(self) -> DataFrame:
         """(above, below) of places, a place not below itself."""
         _, links = self._condense()
-        start = links.select(F.col("src").alias("above"), F.col("dst").alias("below"))
+        start = links.select(F.col("src").alias("above"), F.col("dst").alias("below"), "more")
 
         def step(level: DataFrame, held: DataFrame) -> DataFrame:
-            return level.join(held, level["below"] == held["src"]).select("above", F.col("dst").alias("below")).distinct()
+            return level.join(held, level["below"] == held["src"]).select("above", F.col("dst").alias("below"), held["more"]).distinct()
 
-        return self._levels(start, step).distinct()
+        return self._levels(start, step).select("above", "below").distinct()
 
     def below(self) -> DataFrame:
         """All pairs (node, below) where below can be reached from node over one or more links; itself, in a cycle."""
@@ -110,9 +113,9 @@ class Hierarchy:
         """All pairs (node, root): root is the place of a node that no other place leads to; a root is its own."""
         places, _ = self._condense()
         top = self._roots()
-        start = top.select(F.col("place").alias("root"), "place")
+        start = top.select(F.col("place").alias("root"), "place", F.lit(True).alias("more"))
 
         def step(level: DataFrame, held: DataFrame) -> DataFrame:
-            return level.join(held, level["place"] == held["src"]).select("root", F.col("dst").alias("place")).distinct()
+            return level.join(held, level["place"] == held["src"]).select("root", F.col("dst").alias("place"), held["more"]).distinct()
 
-        return self._levels(start, step).distinct().join(places, "place").select("node", "root")
+        return self._levels(start, step).select("root", "place").distinct().join(places, "place").select("node", "root")
