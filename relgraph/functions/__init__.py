@@ -1 +1 @@
-
+"""Scalar building blocks as Spark columns."""

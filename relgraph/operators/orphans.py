@@ -49,8 +49,7 @@ def may_contain(df: DataFrame, key: Column, bloom: np.ndarray) -> Column:
             hit &= (shared.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
         return pd.Series(hit)
 
-    probe.__annotations__ = {}
-    udf = F.pandas_udf(probe, "boolean", F.PandasUDFType.SCALAR)
+    udf = F.pandas_udf(probe, "boolean")
     return udf(*_positions(key.cast("long"), bits))
 
 

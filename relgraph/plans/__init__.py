@@ -1 +1 @@
-
+"""From declared meaning to operator calls: ontologies and the bridge to graphs."""

@@ -16,6 +16,7 @@ from relgraph.operators.paths import best_paths, path_distances, paths_within, s
 from relgraph.operators.traverse import fetch_edges_for_frontier, multi_source, traverse, traverse_collecting, traverse_graph
 from relgraph.sources.derived import DAG_SQL, DAG_START_SQL, NET_SQL, dag_edges, dag_start, net_edges, net_graph, parts_graph, supplier_graph, valid_rows, valid_sql
 from relgraph.sources.tables import table
+from relgraph.streaming.degrees import run_available, streaming_degrees
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -444,3 +445,16 @@ _add(
     f"""SELECT b.id, b.parent_part_id, b.child_part_id, b.quantity, round(b.quantity * CAST(coalesce(p.weight_kg, 0) AS DOUBLE), 6) AS total_weight_kg, round(b.quantity * CAST(p.unit_cost AS DOUBLE), 4) AS total_cost
 FROM (SELECT DISTINCT id, parent_part_id, child_part_id, quantity, unit FROM bill_of_materials) AS b JOIN {valid_sql('parts')} AS p ON p.id = b.child_part_id""",
 )
+
+
+def x_streaming_degrees(spark: SparkSession, d: str) -> DataFrame:
+    """Degrees of users and event types as the events stream in."""
+    path = f"{d}/events.parquet"
+    stream = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+    return run_available(streaming_degrees(stream, "user_id", "event_type"))
+
+
+_add(
+    "x_streaming_degrees", x_streaming_degrees,
+    """SELECT node, sum(o) AS out_degree, sum(i) AS in_degree FROM (SELECT CAST(user_id AS VARCHAR) AS node, 1 AS o, 0 AS i FROM events UNION ALL SELECT event_type, 0, 1 FROM events) GROUP BY node""",
+)

@@ -1,0 +1 @@
+"""Readers, intermediate tables, derived graphs and exports."""

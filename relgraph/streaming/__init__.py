@@ -1 +1 @@
-
+"""Graph figures kept up to date over streams."""
