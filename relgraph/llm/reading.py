@@ -40,8 +40,8 @@ BE = frozenset("is are was were be been being am has have had".split())
 SUFFIXES = ("tion", "sion", "ment", "ity", "ness", "ance", "ence", "ism", "ology")
 
 FEATURES = (
-    "log_words", "word_length", "word_length_sd", "word_length_p90", "long7", "long10", "long13", "syllables", "sentence_length", "sentence_length_p90",
-    "window_ttr", "hapax", "nominal", "commas", "subordinators", "connectives", "prepositions", "pronouns", "be_ed", "numbers", "ly_words",
+    "word_length", "word_length_sd", "word_length_p90", "long7", "long10", "long13", "syllables", "sentence_length", "sentence_length_p90",
+    "window_ttr", "nominal", "commas", "subordinators", "connectives", "prepositions", "pronouns", "be_ed", "numbers", "ly_words",
     "overlap", "overlap_sd", "known_share", "level_mean", "level_sd", "level_p10", "level_p50", "level_p90", "window_mean", "window_p10", "window_p50", "window_p90", "window_high",
 )
 
@@ -57,33 +57,63 @@ def tokens(text: str) -> list[str]:
     return _WORD.findall(_cleaned(text).lower())
 
 
+def _spread(values: list[float]) -> tuple[float, float, float, float, float]:
+    """Mean, standard deviation and the 10th, 50th and 90th percentiles."""
+    a = np.sort(np.asarray(values, dtype=float))
+    last = len(a) - 1
+    return a.mean(), a.std(), a[int(0.1 * last + 0.5)], a[int(0.5 * last + 0.5)], a[int(0.9 * last + 0.5)]
+
+
 def features(text: str, lexicon: dict[str, float], middle: float) -> list[float]:
-    """Length, vocabulary, syntax and cohesion of one text, in the order of FEATURES."""
+    """Length, vocabulary, syntax and cohesion of one text, in the order of FEATURES.
+
+    All are shares, means and spreads, so that the length of the text as such does not make it harder.
+    """
     clean = _cleaned(text)
     low = clean.lower()
     words = _WORD.findall(low)
     n = len(words)
     if n == 0:
-        return [0.0] * 23 + [0.0] + [middle, 0.0] + [middle] * 3 + [middle] * 5
-    lengths = np.array([len(w) for w in words])
-    runs = np.array([k for k in (len(_WORD.findall(s)) for s in _STOP.split(low)) if k], dtype=float)
+        return [0.0] * 22 + [middle, 0.0] + [middle] * 7 + [0.0]
     counts = Counter(words)
-    windows = [words[i : i + WINDOW] for i in range(0, max(1, n - WINDOW // 2), WINDOW)]
-    share = lambda test: sum(c for w, c in counts.items() if test(w)) / n
+    lengths = _spread([len(w) for w in words])
+    runs = _spread([k for k in (len(_WORD.findall(x)) for x in _STOP.split(low)) if k])
+    starts = range(0, max(1, n - WINDOW // 2), WINDOW)
+    windows = [words[i : i + WINDOW] for i in starts]
+    longer = [0, 0, 0]
+    syllables = nominal = ly = 0
+    kinds = [0, 0, 0, 0]
+    for w, c in counts.items():
+        k = len(w)
+        if k >= 7:
+            longer[0] += c
+            if k >= 10:
+                longer[1] += c
+                if k >= 13:
+                    longer[2] += c
+        syllables += len(_VOWELS.findall(w)) * c
+        if w.endswith(SUFFIXES):
+            nominal += c
+        if w.endswith("ly"):
+            ly += c
+        for i, words_of in enumerate((SUBORDINATORS, CONNECTIVES, PREPOSITIONS, PRONOUNS)):
+            if w in words_of:
+                kinds[i] += c
     sets = [{w for w in x if len(w) > 3} for x in windows]
-    overlaps = np.array([len(a & b) / max(1, min(len(a), len(b))) for a, b in zip(sets, sets[1:])] or [0.0])
+    overlaps = _spread([len(a & b) / max(1, min(len(a), len(b))) for a, b in zip(sets, sets[1:])] or [0.0])
     ed = sum(1 for a, b in zip(words, words[1:]) if a in BE and b.endswith("ed"))
     known = [lexicon.get(w) for w in words]
-    levels = np.array([v for v in known if v is not None] or [middle])
-    local = np.array([np.mean([v for v in known[i : i + WINDOW] if v is not None] or [middle]) for i in range(0, max(1, n - WINDOW // 2), WINDOW)])
-    p10, p50, p90 = np.percentile(levels, (10, 50, 90))
-    w10, w50, w90 = np.percentile(local, (10, 50, 90))
+    told = [v for v in known if v is not None]
+    levels = _spread(told or [middle])
+    around = []
+    for i in starts:
+        here = [v for v in known[i : i + WINDOW] if v is not None]
+        around.append(sum(here) / len(here) if here else middle)
+    local = _spread(around)
     return [
-        np.log(n), lengths.mean(), lengths.std(), np.percentile(lengths, 90), (lengths >= 7).mean(), (lengths >= 10).mean(), (lengths >= 13).mean(),
-        sum(len(_VOWELS.findall(w)) * c for w, c in counts.items()) / n, runs.mean(), np.percentile(runs, 90),
-        np.mean([len(set(x)) / len(x) for x in windows]), sum(1 for c in counts.values() if c == 1) / n, share(lambda w: w.endswith(SUFFIXES)), clean.count(",") / n,
-        share(SUBORDINATORS.__contains__), share(CONNECTIVES.__contains__), share(PREPOSITIONS.__contains__), share(PRONOUNS.__contains__), ed / n, len(_NUMBER.findall(clean)) / n, share(lambda w: w.endswith("ly")),
-        overlaps.mean(), overlaps.std(), len(levels) / n, levels.mean(), levels.std(), p10, p50, p90, local.mean(), w10, w50, w90, (local > middle).mean(),
+        lengths[0], lengths[1], lengths[4], longer[0] / n, longer[1] / n, longer[2] / n, syllables / n, runs[0], runs[4],
+        sum(len(set(x)) / len(x) for x in windows) / len(windows), nominal / n, clean.count(",") / n, kinds[0] / n, kinds[1] / n, kinds[2] / n, kinds[3] / n, ed / n, len(_NUMBER.findall(clean)) / n, ly / n,
+        overlaps[0], overlaps[1], len(told) / n, *levels, local[0], *local[2:], sum(1 for v in around if v > middle) / len(around),
     ]
 
 
