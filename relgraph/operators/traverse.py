@@ -53,7 +53,7 @@ def search(edges: DataFrame, starts: DataFrame, max_depth: int, terminal: DataFr
             "root", "node", F.lit(depth).alias("depth"), *([F.array_append("path", F.col("node")).alias("path")] if paths else [])
         )
         level = materialize(new)
-        seen_edges += int(count.get["edges"] or 0)
+        seen_edges += int(dict(count.get).get("edges") or 0)
         expansions = depth
         if level.rows == 0:
             level.drop()

@@ -449,8 +449,10 @@ FROM (SELECT DISTINCT id, parent_part_id, child_part_id, quantity, unit FROM bil
 
 def x_streaming_degrees(spark: SparkSession, d: str) -> DataFrame:
     """Degrees of users and event types as the events stream in."""
-    path = f"{d}/events.parquet"
-    stream = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+    rows = table(spark, d, "events")
+    reader = spark.readStream.schema(rows.schema)
+    single = any(f.endswith("/events.parquet") for f in rows.inputFiles())  # a stream reads folders, not a file
+    stream = reader.option("pathGlobFilter", "events.parquet").parquet(d) if single else reader.parquet(f"{d}/events.parquet")
     return run_available(streaming_degrees(stream, "user_id", "event_type"))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from relgraph.operators.hierarchy import Hierarchy
 from relgraph.operators.intervals import interval_gaps, interval_periods
 from relgraph.operators.orphans import orphan_references, orphan_report, valid_versions
-from relgraph.operators.units import BASES, base_of, factor, linked_measures, noted_unit, pairwise_scales, recorded_units, spelled_unit
+from relgraph.operators.units import BASES, UNITS, base_of, factor, linked_measures, noted_unit, pairwise_scales, recorded_units, spelled_unit
 from relgraph.operators.skew import heavy_keys, key_profile, running_by_key
 from relgraph.sources.tables import table
 
@@ -109,6 +109,48 @@ def p2_values(spark: SparkSession, d: str) -> DataFrame:
     return quantities.unionByName(measures).distinct()
 
 
+def _unit_case(text: str) -> str:
+    """SQL for the unit that a whole text spells."""
+    low = f"lower(trim(regexp_replace({text}, '\\s+', ' ', 'g')))"
+    return "CASE " + " ".join(f"WHEN {low} IN ({', '.join(chr(39) + s + chr(39) for s in spelled)}) THEN '{u}'" for u, (_, _, spelled) in UNITS.items()) + " END"
+
+
+def _spelled(units: list[str]) -> str:
+    every = sorted((s for u in units for s in UNITS[u][2]), key=lambda s: (-len(s), s))
+    return "(" + "|".join(s.replace(".", "\\.").replace("(", "\\(").replace(")", "\\)") for s in every) + ")(?:[^a-z0-9]|$)"
+
+
+def _snap_case(ratio: str, base: str) -> str:
+    known = [(u, f) for u, (b, f, _) in UNITS.items() if b == base]
+    off = ", ".join(f"{{'off': abs(ln({ratio} * CAST({f!r} AS DOUBLE))), 'unit': '{u}'}}" for u, f in known)
+    return f"CASE WHEN {ratio} > 0 AND list_min(list_transform([{off}], lambda x: x.off)) <= ln(1.1) THEN list_sort([{off}])[1].unit END"
+
+
+_CUES = r"(?:\buom\s*[=:]|\bunits?\s*[=:]|\bamount\s+as\b|\bqty\s+in\b|\bquantity\s+in\b|\bcounted\s+in\b|\bmeasured\s+in\b|\bquantity\s*:\s*[0-9.,]+|\bneeds\s+[0-9.,]+)\s*"
+
+
+def _stated(base: str, part: int) -> str:
+    units = [u for u, (b, _, _) in UNITS.items() if b == base]
+    return f"regexp_extract(lower(description), '(?:^|[^0-9.,])([0-9]+(?:[.,][0-9]+)?)\\s*{_spelled(units)}', {part})"
+
+
+def _p2_measure_sql(base: str, column: str, sure: str) -> str:
+    size = "CASE unit " + " ".join(f"WHEN '{u}' THEN CAST({f!r} AS DOUBLE)" for u, (b, f, _) in UNITS.items() if b == base) + " END"
+    return f"""SELECT 'parts' AS table_name, '{column}' AS field_name, id AS record_id, {_snap_case('ratio', base)} AS unit FROM (
+  SELECT id, recorded / coalesce(CASE WHEN sure > 0 THEN sure END, CASE WHEN stated > 0 THEN stated * {size} END) AS ratio FROM (
+    SELECT id, CAST({column} AS DOUBLE) AS recorded, CAST({sure} AS DOUBLE) AS sure, TRY_CAST(replace(number, ',', '.') AS DOUBLE) AS stated, {_unit_case('spelled')} AS unit
+    FROM (SELECT *, {_stated(base, 1)} AS number, {_stated(base, 2)} AS spelled FROM parts)))"""
+
+
+_PER = _spelled(list(UNITS)).removesuffix("(?:[^a-z0-9]|$)")
+P2_FOUND_SQL = f"""SELECT DISTINCT table_name, field_name, record_id, unit AS recorded_unit FROM (
+SELECT 'bill_of_materials' AS table_name, 'quantity' AS field_name, id AS record_id, coalesce({_unit_case('unit')}, {_unit_case('noted')}, {_unit_case('per')}) AS unit FROM (
+  SELECT id, unit, regexp_extract(lower(notes), '{_CUES}{_spelled(list(UNITS))}', 1) AS noted, regexp_extract(lower(notes), '[0-9.,]+\\s*{_PER}\\s+per\\s+assembly', 1) AS per FROM bill_of_materials)
+UNION ALL SELECT 'parts', 'base_uom', id, {_unit_case('base_uom')} FROM parts
+UNION ALL {_p2_measure_sql('kg', 'unit_weight_kg', 'weight_kg')} UNION ALL {_p2_measure_sql('m', 'unit_length_m', 'NULL')})
+WHERE unit IS NOT NULL AND unit NOT IN ('each', 'kg', 'm', 'L')"""
+
+
 def p2_scales(spark: SparkSession, d: str) -> DataFrame:
     return pairwise_scales(linked_measures(table(spark, d, "parts")))
 
@@ -283,6 +325,7 @@ QUERIES = {
     "p6_report": p6_report,
 }
 ORACLE = {
+    "p2_found": P2_FOUND_SQL,
     "p1_found": P1_FOUND_SQL,
     "p1_nodes": P1_NODES_SQL,
     "p1_roots": P1_ROOTS_SQL,

@@ -42,17 +42,40 @@ class Scratch:
         path.getFileSystem(jsc.hadoopConfiguration()).delete(path, True)
 
 
+_cleaned: set[str] = set()
+
+
+def _folder(spark: SparkSession) -> str:
+    """This application's own folder under the shared one; deleted when the driver ends."""
+    path = f"{scratch_root(spark)}/relgraph-{spark.sparkContext.applicationId}"
+    if path not in _cleaned:
+        _cleaned.add(path)
+
+        def clean() -> None:
+            try:
+                Scratch(spark, None, path, {"n": 0}).drop()
+            except Exception:  # the session is gone; whoever owns the shared folder cleans it
+                pass
+
+        atexit.register(clean)
+    return path
+
+
 def materialize(df: DataFrame, **observed: Column) -> Scratch:
     """Write df once to the shared folder and return a handle that reads it back with a one-step lineage.
 
     observed: aggregates to take of the rows as they are written.
     """
     spark = df.sparkSession
-    path = f"{scratch_root(spark)}/relgraph-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    path = f"{_folder(spark)}/{uuid.uuid4().hex}"
     seen = Observation()
-    counted = df.observe(seen, F.count(F.lit(1)).alias("n"), *[c.alias(k) for k, c in observed.items()])
-    counted.write.option("compression", "zstd").parquet(path)
-    return Scratch(spark, spark.read.schema(df.schema).parquet(path), path, dict(seen.get))
+    wanted = [F.count(F.lit(1)).alias("n"), *[c.alias(k) for k, c in observed.items()]]
+    df.observe(seen, *wanted).write.option("compression", "zstd").parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    got = dict(seen.get)
+    if "n" not in got:  # a plan that proves empty may drop what watches it
+        got = back.agg(*wanted).first().asDict()
+    return Scratch(spark, back, path, got)
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
