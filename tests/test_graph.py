@@ -10,7 +10,7 @@ from relgraph.operators.aggregate import OPERATIONS, aggregate_paths, is_acyclic
 from relgraph.operators.components import strong_groups
 from relgraph.operators.model import Graph, Limits, SafetyLimitExceeded, SubgraphTooLarge
 from relgraph.operators.paths import all_shortest_paths, best_paths, paths_within, shortest_path
-from relgraph.operators.traverse import fetch_edges_for_frontier, fetch_nodes, multi_source, traverse, traverse_collecting
+from relgraph.operators.traverse import fetch_edges_for_frontier, fetch_nodes, multi_source, search, traverse, traverse_collecting
 
 CHAIN = [(1, 2), (2, 3), (3, 4)]
 DIAMOND = [(1, 2, 1.0, 2), (1, 3, 1.0, 1), (2, 4, 1.0, 3), (3, 4, 1.0, 5)]
@@ -113,6 +113,28 @@ def test_random_graphs(spark, seed):
         assert math.isclose(x["score"], k / far * k / (len(ends) - 1) if far else 0.0)
 
 
+@pytest.mark.parametrize("small_rows", [0, 3, 12, 10_000])
+def test_search_is_the_same_on_driver_and_cluster(spark, small_rows):
+    rng = random.Random(11)
+    rows = sorted({(rng.randrange(20), rng.randrange(20)) for _ in range(45)})
+    starts = spark.createDataFrame([(0, 0), (3, 3)], "root long, node long")
+    stop = spark.createDataFrame([(5,), (3,), (7,)], "node long")
+    found = search(edges(spark, rows).select("src", "dst"), starts, 6, stop, True, None, small_rows)
+    want = {}
+    for root in (0, 3):
+        level, seen = {root: (root,)}, {}
+        for depth in range(7):
+            seen.update({v: (depth, p) for v, p in level.items()})
+            nxt = {}
+            for a, b in rows:
+                if a in level and a not in (5, 3, 7) and b not in seen:
+                    nxt[b] = min(nxt.get(b, (99,)), (*level[a], b))
+            level = nxt
+        want.update({(root, v): x for v, x in seen.items()})
+    assert {(r["root"], r["node"]): (r["depth"], tuple(r["path"])) for r in found.df.collect()} == want
+    assert found.sizes == [sum(1 for d, _ in want.values() if d == k) for k in range(len(found.sizes))]
+
+
 def test_path_aggregate(spark):
     g = Graph.of(spark, nodes(spark, range(1, 5)), edges(spark, DIAMOND), "src", "dst")
     want = {"sum": 11.0, "max": 5.0, "min": 1.0, "multiply": 11.0, "count": 2.0}
