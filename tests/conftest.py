@@ -14,12 +14,12 @@ def spark():
         SparkSession.builder.master("local[4]")
         .config(
             map={
-                "spark.sql.shuffle.partitions": "4",
+                "spark.sql.shuffle.partitions": "2",
                 "spark.ui.enabled": "false",
                 "spark.ui.showConsoleProgress": "false",
                 "spark.sql.session.timeZone": "UTC",
                 "spark.driver.memory": "4g",
-                "spark.default.parallelism": "4",
+                "spark.default.parallelism": "2",
             }
         )
         .getOrCreate()
@@ -27,3 +27,15 @@ def spark():
     s.sparkContext.setLogLevel("ERROR")
     yield s
     s.stop()
+
+
+@pytest.fixture
+def many_partitions(spark):
+    """Seven shuffle partitions that stay apart, however small, so that states cross their borders."""
+    keys = {"spark.sql.shuffle.partitions": "7", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in keys}
+    for k, v in keys.items():
+        spark.conf.set(k, v)
+    yield 7
+    for k, v in before.items():
+        spark.conf.set(k, v)

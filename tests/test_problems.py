@@ -93,7 +93,7 @@ def test_recorded_units(spark):
 # Heavy keys --------------------------------------------------------------------------------------------------------
 
 
-def test_heavy_keys_and_profile(spark):
+def test_heavy_keys_and_profile(spark, many_partitions):
     rng = random.Random(1)
     rows = [(i, 7 if rng.random() < 0.4 else rng.randrange(50), rng.choice([None, *range(100)]), rng.choice([None, 1, 2]), "z") for i in range(3000)]
     rows += [(5000, None, 3, 1, "z")] * 3 + rows[:20]
@@ -110,7 +110,7 @@ def test_heavy_keys_and_profile(spark):
     assert key_profile(df.limit(0), "k", "at", "id", "v").count() == 0 and heavy_keys(df.limit(0), "k", "id", 0.1).count() == 0
 
 
-def test_running_by_key(spark):
+def test_running_by_key(spark, many_partitions):
     rows = [(i, "hot" if i % 3 else f"k{i % 5}", i // 2, None if i % 7 == 0 else i) for i in range(400)]
     df = spark.createDataFrame(rows, "id long, k string, o int, v int").repartition(3)
     got = {r["id"]: (r["seq"], r["running_total"]) for r in running_by_key(df, "k", "o", "id", "v").collect()}
@@ -154,7 +154,7 @@ def _runs(days):
 
 
 @pytest.mark.parametrize("seed", range(2))
-def test_intervals(spark, seed):
+def test_intervals(spark, seed, many_partitions):
     rng = random.Random(seed)
     rows = []
     for _ in range(700):
@@ -177,6 +177,9 @@ def test_intervals(spark, seed):
     assert {(r["a"], r["b"], num(r["gap_start"]), num(r["gap_end"])) for r in interval_gaps(df, "a", "b", "s", "e").collect()} == gaps
     got = [(r["a"], r["b"], num(r["period_start"]), num(r["period_end"])) for r in interval_periods(df, "a", "b", "s", "e").collect()]
     assert len(got) == len(set(got)) and set(got) == periods
+    from relgraph.operators.rangescan import PID, range_sorted
+
+    assert range_sorted(df, "a", "b", "s").select(PID).distinct().count() > 3  # borders are crossed
     assert interval_gaps(df.limit(0), "a", "b", "s", "e").count() == 0 and interval_periods(df.limit(0), "a", "b", "s", "e").count() == 0
 
 
