@@ -11,15 +11,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from relgraph.operators.model import LIMITS, Graph, Limits, SubgraphTooLarge
+from relgraph.operators.traverse import SMALL_ROWS
 from relgraph.sources.scratch import materialize
 
 
-def distances(edges: DataFrame, starts: DataFrame, max_depth: int, paths: bool = True, within: float | None = None) -> DataFrame:
+def distances(edges: DataFrame, starts: DataFrame, max_depth: int, paths: bool = True, within: float | None = None, small_rows: int = SMALL_ROWS) -> DataFrame:
     """Least-cost walks of at most max_depth edges from every root: root, node, dist, hops (and path).
 
     edges: src, dst, w (not negative). starts: root, node. Ties go to fewer edges, then to the least path. Each round
     relaxes the edges of the nodes that got nearer in the last one, until none does; ``within`` drops walks that cost more.
+    An edge table of at most SMALL_ROWS rows is relaxed on the driver instead, with the same result.
     """
+    if small_rows and (found := _distances_small(edges, starts, max_depth, paths, within, small_rows)) is not None:
+        return found
     if edges.where(F.col("w") < 0).limit(1).count():
         raise ValueError("weights must not be negative")
     state_cols = ["dist", "hops", *(["path"] if paths else [])]
@@ -46,6 +50,40 @@ def distances(edges: DataFrame, starts: DataFrame, max_depth: int, paths: bool =
     return best.df.drop("fresh")
 
 
+def _distances_small(edges: DataFrame, starts: DataFrame, max_depth: int, paths: bool, within: float | None, most: int) -> DataFrame | None:
+    """distances() over a small edge table; None if the edges, the starts or the states are too many."""
+    rows = edges.select("src", "dst", F.col("w").cast("double").alias("w")).limit(most + 1).collect()
+    begin = starts.select("root", "node").distinct().limit(most + 1).collect()
+    if len(rows) > most or len(begin) > most:
+        return None
+    if any(r["w"] < 0 for r in rows):
+        raise ValueError("weights must not be negative")
+    ways: dict = {}
+    for r in rows:
+        ways.setdefault(r["src"], []).append((r["dst"], r["w"]))
+    best = {(r["root"], r["node"]): (0.0, 0, (r["node"],) if paths else ()) for r in begin}
+    fresh = list(best)
+    for _ in range(max_depth):
+        offers: dict = {}
+        for root, node in fresh:
+            dist, hops, path = best[root, node]
+            for dst, w in ways.get(node, ()):
+                if within is not None and dist + w > within:
+                    continue
+                state, key = (dist + w, hops + 1, (*path, dst) if paths else ()), (root, dst)
+                if (key not in best or state < best[key]) and (key not in offers or state < offers[key]):
+                    offers[key] = state
+        if not offers:
+            break
+        best |= offers
+        if len(best) > most:
+            return None
+        fresh = list(offers)
+    kind = starts.select("root", "node", F.lit(0.0).alias("dist"), F.lit(0).alias("hops"), *([F.array("node").alias("path")] if paths else [])).schema
+    out = [(root, node, d, h, *([list(p)] if paths else [])) for (root, node), (d, h, p) in best.items()]
+    return edges.sparkSession.createDataFrame(out, kind)
+
+
 @dataclass
 class PathResult:
     """path is None if there is none; nodes: position, node and the node table's columns, in path order; edges: position,

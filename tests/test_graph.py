@@ -9,7 +9,7 @@ from relgraph.operators import network as N
 from relgraph.operators.aggregate import OPERATIONS, aggregate_paths, is_acyclic, path_aggregate
 from relgraph.operators.components import strong_groups
 from relgraph.operators.model import Graph, Limits, SafetyLimitExceeded, SubgraphTooLarge
-from relgraph.operators.paths import all_shortest_paths, best_paths, paths_within, shortest_path
+from relgraph.operators.paths import all_shortest_paths, best_paths, distances, paths_within, shortest_path
 from relgraph.operators.traverse import fetch_edges_for_frontier, fetch_nodes, multi_source, search, traverse, traverse_collecting
 
 CHAIN = [(1, 2), (2, 3), (3, 4)]
@@ -199,6 +199,15 @@ def test_paths(spark):
         shortest_path(spark, n, edges(spark, [(1, 2, -1.0)]), "src", "dst", 1, 2, weight_col="w")
 
 
+@pytest.mark.parametrize("paths", [True, False])
+def test_distances_are_the_same_on_driver_and_cluster(spark, paths):
+    rng = random.Random(7)
+    rows = [(rng.randrange(12), rng.randrange(12), float(rng.randrange(4))) for _ in range(30)]
+    starts = spark.createDataFrame([(0, 0), (1, 1), (1, 2)], "root long, node long")
+    small, large = [distances(edges(spark, rows), starts, 4, paths, None, n).collect() for n in (1000, 0)]
+    assert sorted(map(tuple, small)) == sorted(map(tuple, large)) and len(small) > 5
+
+
 def test_network(spark):
     star = edges(spark, [(5, 1), (5, 2), (3, 5), (4, 5)])
     n = nodes(spark, range(1, 7))
