@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 from relgraph.operators.aggregate import aggregate_paths
 from relgraph.operators.hierarchy import Hierarchy
-from relgraph.operators.model import Graph
+from relgraph.operators.model import LIMITS, Graph
 from relgraph.operators.network import degree_centrality
 from relgraph.operators.paths import distances, path_distances, paths_within
 from relgraph.operators.traverse import multi_source, traverse_graph
 from relgraph.queries.graph import _END, _PATHS_SQL, BOM, DAG_SQL, DAG_START_SQL, HOPS, NET_SQL, PARENT, _edges_sql, _end, _parent, _reach_sql
-from relgraph.sources.derived import dag_edges, dag_start, net_edges, net_graph, parts_graph, valid_rows, valid_sql
+from relgraph.sources.derived import dag_edges, dag_start, net_edges, net_graph, parts_graph, valid_rows, valid_sql, whole_net_edges
 from relgraph.sources.tables import table
 
 QUERIES: dict = {}
@@ -100,10 +100,10 @@ SELECT root, max(depth) AS deepest, count(DISTINCT node) AS n FROM w GROUP BY ro
 )
 
 
-def q18_shared_reach(spark: SparkSession, d: str) -> DataFrame:
+def q18_shared_reach(spark: SparkSession, d: str, edges=net_edges) -> DataFrame:
     """Suppliers that more than half of all suppliers reach within two steps."""
     starts = table(spark, d, "supplier").select(F.col("s_suppkey").alias("root"))
-    reach = multi_source(net_graph(spark, d), starts, max_depth=2).where("depth > 0")
+    reach = multi_source(net_graph(spark, d, edges), starts, max_depth=2).where("depth > 0")
     return reach.groupBy("node").agg(F.count_distinct("root").alias("roots")).where(F.col("roots") > 1)
 
 
@@ -150,12 +150,12 @@ SELECT max(depth) AS longest FROM w""",
 )
 
 
-def q34_nearest_of_set(spark: SparkSession, d: str) -> DataFrame:
+def q34_nearest_of_set(spark: SparkSession, d: str, edges=net_edges, hops: int = HOPS) -> DataFrame:
     """From each supplier, hops to the nearest one with a negative balance: one search from all of them, backwards."""
     targets = table(spark, d, "supplier").where("s_acctbal < 0").select(F.col("s_suppkey").alias("node"))
-    links = net_edges(spark, d).select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.lit(1.0).alias("w"))
+    links = edges(spark, d).select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.lit(1.0).alias("w"))
     starts = targets.select(F.lit(0).alias("root"), "node")
-    return distances(links, starts, HOPS, False).select("node", "hops")
+    return distances(links, starts, hops, False).select("node", "hops")
 
 
 _add(
@@ -199,9 +199,9 @@ SELECT count(*) AS n, CAST(sum(p.unit_cost) AS DOUBLE) AS cost FROM r JOIN p ON
 )
 
 
-def q49_degree_times_value(spark: SparkSession, d: str) -> DataFrame:
+def q49_degree_times_value(spark: SparkSession, d: str, edges=net_edges) -> DataFrame:
     """The ten suppliers with the highest product of degree centrality and balance."""
-    score = degree_centrality(net_edges(spark, d).select("src", "dst"))
+    score = degree_centrality(edges(spark, d).select("src", "dst"))
     s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("node"), "s_acctbal")
     return score.join(s, "node").select("node", F.round(F.col("score") * F.col("s_acctbal"), 4).alias("weight")).orderBy(F.desc("weight"), "node").limit(10)
 
@@ -213,12 +213,12 @@ SELECT k.node, round(k.d / ((SELECT count(*) FROM k) - 1.0) * s.s_acctbal, 4) AS
 )
 
 
-def q50_reroute_cost(spark: SparkSession, d: str) -> DataFrame:
+def q50_reroute_cost(spark: SparkSession, d: str, edges=net_edges, hops: int = HOPS) -> DataFrame:
     """What every destination's cheapest way gets dearer when the hub next to the start is closed; null: cut off."""
-    g = net_graph(spark, d, weight="q")
-    hub = min(r["dst"] for r in net_edges(spark, d).where("src = 0").collect())
-    a = path_distances(g, 0, HOPS).select("node", F.col("dist").alias("cost"))
-    b = path_distances(g.with_(excluded=(hub,)), 0, HOPS).select("node", F.col("dist").alias("rerouted"))
+    g = net_graph(spark, d, edges, weight="q")
+    hub = min(r["dst"] for r in edges(spark, d).where("src = 0").collect())
+    a = path_distances(g, 0, hops).select("node", F.col("dist").alias("cost"))
+    b = path_distances(g.with_(excluded=(hub,)), 0, hops).select("node", F.col("dist").alias("rerouted"))
     return a.where(F.col("node") != hub).join(b, "node", "left").select("node", "cost", (F.col("rerouted") - F.col("cost")).alias("extra"))
 
 
@@ -230,11 +230,11 @@ SELECT a.node, a.cost, b.rerouted - a.cost AS extra FROM a LEFT JOIN b ON b.node
 )
 
 
-def q53_path_over_stocked(spark: SparkSession, d: str) -> DataFrame:
+def q53_path_over_stocked(spark: SparkSession, d: str, edges=net_edges, hops: int = HOPS) -> DataFrame:
     """Cheapest distances over suppliers with a positive balance only (the start apart)."""
     good = table(spark, d, "supplier").where("s_acctbal > 0").select(F.col("s_suppkey").alias("dst"))
-    e = net_edges(spark, d).join(good, "dst", "left_semi")
-    return path_distances(Graph.of(spark, None, e, "src", "dst", weight="q"), 0, HOPS).select("node", "dist")
+    e = edges(spark, d).join(good, "dst", "left_semi")
+    return path_distances(Graph.of(spark, None, e, "src", "dst", weight="q"), 0, hops).select("node", "dist")
 
 
 _add(
@@ -246,6 +246,14 @@ SELECT node, min(dist) AS dist FROM w GROUP BY node""",
 )
 
 
+# The same over every pair of suppliers and without a bound of hops.
+_add("q18_shared_reach_whole", lambda s, d: q18_shared_reach(s, d, whole_net_edges))
+_add("q49_degree_times_value_whole", lambda s, d: q49_degree_times_value(s, d, whole_net_edges))
+_add("q34_nearest_of_set_whole", lambda s, d: q34_nearest_of_set(s, d, whole_net_edges, LIMITS.max_depth))
+_add("q50_reroute_cost_whole", lambda s, d: q50_reroute_cost(s, d, whole_net_edges, LIMITS.max_depth))
+_add("q53_path_over_stocked_whole", lambda s, d: q53_path_over_stocked(s, d, whole_net_edges, LIMITS.max_depth))
+
+
 def q54_cheapest_under_limit(spark: SparkSession, d: str) -> DataFrame:
     """The cheapest path by quantity among those of at most five edges."""
     found = paths_within(net_graph(spark, d, weight="q"), 0, _end(spark, d), None, 5)

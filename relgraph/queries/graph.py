@@ -11,10 +11,10 @@ from relgraph.operators import estimate as E
 from relgraph.operators import network as N
 from relgraph.operators import quality as V
 from relgraph.operators.aggregate import aggregate_paths, extended_cost
-from relgraph.operators.model import Graph
+from relgraph.operators.model import LIMITS, Graph
 from relgraph.operators.paths import best_paths, path_distances, paths_within, shortest_path, tied_paths
 from relgraph.operators.traverse import fetch_edges_for_frontier, multi_source, traverse, traverse_collecting, traverse_graph
-from relgraph.sources.derived import DAG_SQL, DAG_START_SQL, NET_SQL, dag_edges, dag_start, net_edges, net_graph, parts_graph, supplier_graph, valid_rows, valid_sql
+from relgraph.sources.derived import DAG_SQL, DAG_START_SQL, NET_SQL, dag_edges, dag_start, net_edges, net_graph, parts_graph, supplier_graph, valid_rows, valid_sql, whole_net_edges, whole_net_graph
 from relgraph.sources.tables import table
 from relgraph.streaming.degrees import run_available, streaming_degrees
 
@@ -206,13 +206,13 @@ def _shown(df: DataFrame) -> DataFrame:
     return df.select(F.array_join("path", "/").alias("path"), F.col("dist").cast("double").alias("dist"), F.col("hops").cast("int").alias("hops"))
 
 
-def _one_path(weight: str | None, excluded: bool = False):
+def _one_path(weight: str | None, excluded: bool = False, edges=net_edges, hops: int = HOPS):
     def run(spark: SparkSession, d: str) -> DataFrame:
         end = _end(spark, d)
         out = None
         if excluded:
-            out = [min(r["dst"] for r in net_edges(spark, d).where("src = 0").collect() if r["dst"] != end)]
-        r = shortest_path(spark, table(spark, d, "supplier"), net_edges(spark, d), "src", "dst", 0, end, weight, HOPS, "s_suppkey", out)
+            out = [min(r["dst"] for r in edges(spark, d).where("src = 0").collect() if r["dst"] != end)]
+        r = shortest_path(spark, table(spark, d, "supplier"), edges(spark, d), "src", "dst", 0, end, weight, hops, "s_suppkey", out)
         rows = [("/".join(map(str, r.path)), r.distance, r.hops)] if r.path else []
         return spark.createDataFrame(rows, "path string, dist double, hops int")
 
@@ -244,8 +244,18 @@ def g5_paths_within(spark: SparkSession, d: str) -> DataFrame:
 
 
 _add("g5_paths_within", g5_paths_within, f"{_PATHS_SQL} SELECT {_SHOW}, dist, hops FROM w WHERE node = {_END} AND dist <= 1.5 * (SELECT min(dist) FROM w WHERE node = {_END})")
+
+
+def _multi_depth(graph):
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        starts = table(spark, d, "supplier").select(F.col("s_suppkey").alias("root"))
+        return multi_source(graph(spark, d), starts, max_depth=DEPTH).groupBy("root").agg(F.count(F.lit(1)).alias("reached"), F.max("depth").alias("depth"))
+
+    return run
+
+
 _add(
-    "g1_multi_source_depth", lambda s, d: multi_source(net_graph(s, d), table(s, d, "supplier").select(F.col("s_suppkey").alias("root")), max_depth=DEPTH).groupBy("root").agg(F.count(F.lit(1)).alias("reached"), F.max("depth").alias("depth")),
+    "g1_multi_source_depth", _multi_depth(net_graph),
     f"""WITH RECURSIVE e AS (SELECT src, dst FROM {NET_SQL}),
 r AS (SELECT s_suppkey AS root, s_suppkey AS node, 0 AS depth FROM supplier UNION SELECT r.root, e.dst, r.depth + 1 FROM r JOIN e ON e.src = r.node WHERE r.depth < {DEPTH}),
 m AS (SELECT root, node, min(depth) AS depth FROM r GROUP BY root, node)
@@ -271,9 +281,9 @@ m AS (SELECT root, node, min(depth) AS depth FROM r GROUP BY root, node),
 t AS (SELECT root, count(*) - 1 AS reached, sum(depth) AS far FROM m GROUP BY root)
 SELECT root AS node, round(CASE WHEN far > 0 THEN reached / CAST(far AS DOUBLE) * reached / ((SELECT count(*) FROM n) - 1.0) ELSE 0.0 END, 8) AS score FROM t""",
 )
-_add("g6_betweenness", _score("betweenness"))
-_add("g6_betweenness_weighted", _score("betweenness", weight="q"))
-_add("g6_pagerank", _score("pagerank"))
+_add("g6_betweenness", _score("betweenness", whole_net_graph))
+_add("g6_betweenness_weighted", _score("betweenness", whole_net_graph, weight="q"))
+_add("g6_pagerank", _score("pagerank", whole_net_graph))
 _RANKS = "\n".join(
     f", s{i + 1} AS (SELECT n.node, 0.15 / c.n + 0.85 * (coalesce(g.got, 0.0) + coalesce((SELECT sum(score) FROM s{i} WHERE node NOT IN (SELECT src FROM o)), 0.0) / c.n) AS score "
     f"FROM n CROSS JOIN c LEFT JOIN (SELECT e.dst AS node, sum(s.score / o.k) AS got FROM e JOIN o ON o.src = e.src JOIN s{i} AS s ON s.node = e.src GROUP BY e.dst) AS g ON g.node = n.node)"
@@ -296,8 +306,8 @@ _add(
 )
 
 
-def g8_graph_density(spark: SparkSession, d: str) -> DataFrame:
-    s = N.graph_density(spark, net_edges(spark, d), "src", "dst")
+def g8_graph_density(spark: SparkSession, d: str, edges=net_edges) -> DataFrame:
+    s = N.graph_density(spark, edges(spark, d), "src", "dst")
     row = (s["nodes"], s["edges"], round(s["density"], 8), s["is_weakly_connected"], s.get("is_strongly_connected"), round(s["avg_degree"], 6), s["max_degree"], s["min_degree"])
     return spark.createDataFrame([row], "nodes long, edges long, density double, weak boolean, strong boolean, avg_degree double, max_degree long, min_degree long")
 
@@ -314,6 +324,16 @@ SELECT nodes, edges, round(edges / (nodes * (nodes - 1.0)), 8) AS density, (SELE
 )
 
 
+# The same over every pair of suppliers, where NET_SQL keeps three a supplier, and without its bound of hops.
+for _name, _weight, _out in (("weighted", "q", False), ("hops", None, False), ("excluded", "q", True)):
+    _add(f"g4_shortest_path_{_name}_whole", _one_path(_weight, _out, whole_net_edges, LIMITS.max_depth))
+_add("g4_distances_whole", lambda s, d: path_distances(whole_net_graph(s, d, weight="q"), 0, LIMITS.max_depth).select("node", "dist", F.array_join("path", "/").alias("path")))
+_add("g5_all_shortest_paths_whole", lambda s, d: _shown(tied_paths(whole_net_graph(s, d), 0, _end(s, d), None, LIMITS.max_depth)))
+_add("g1_multi_source_depth_whole", _multi_depth(whole_net_graph))
+_add("g6_closeness_whole", _score("closeness", whole_net_graph))
+_add("g8_graph_density_whole", lambda s, d: g8_graph_density(s, d, whole_net_edges))
+
+
 def g9_neighbors(spark: SparkSession, d: str) -> DataFrame:
     g = supplier_graph(spark, d)
     r = N.neighbors(spark, g.nodes, g.edges, "seller_id", "buyer_id", _seller(spark, d))

@@ -56,16 +56,20 @@ def dag_start(spark: SparkSession, d: str) -> int:
 DAG_START_SQL = "(SELECT greatest(1, count(*) // 200) FROM part)"
 
 
-def net_edges(spark: SparkSession, d: str) -> DataFrame:
-    """A weighted network of suppliers: who follows whom within orders, the three strongest ways on of each.
+def whole_net_edges(spark: SparkSession, d: str) -> DataFrame:
+    """A weighted network of suppliers: who follows whom within orders, every pair.
 
     src, dst, n (orders), q (quantity, the weight), d0 and d1 (first and last ship date).
     """
     order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_suppkey", "l_partkey", "l_quantity", "l_extendedprice", "l_shipdate")
     steps = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("src"), F.lead("l_suppkey").over(order).alias("dst"), F.col("l_quantity").alias("q"), F.col("l_shipdate").alias("d"))
-    pairs = steps.where("dst is not null and src <> dst").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"), F.sum("q").alias("q"), F.min("d").alias("d0"), F.max("d").alias("d1"))
+    return steps.where("dst is not null and src <> dst").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"), F.sum("q").alias("q"), F.min("d").alias("d0"), F.max("d").alias("d1"))
+
+
+def net_edges(spark: SparkSession, d: str) -> DataFrame:
+    """The three strongest ways on of each supplier in whole_net_edges, as NET_SQL has them."""
     rank = F.row_number().over(Window.partitionBy("src").orderBy(F.desc("n"), "dst"))
-    return pairs.withColumn("rank", rank).where("rank <= 3").drop("rank")
+    return whole_net_edges(spark, d).withColumn("rank", rank).where("rank <= 3").drop("rank")
 
 
 NET_SQL = """(SELECT src, dst, n, q, d0, d1 FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY n DESC, dst) AS rank FROM (
@@ -74,5 +78,9 @@ NET_SQL = """(SELECT src, dst, n, q, d0, d1 FROM (SELECT *, row_number() OVER (P
   WHERE dst IS NOT NULL AND src <> dst GROUP BY src, dst)) WHERE rank <= 3)"""
 
 
-def net_graph(spark: SparkSession, d: str, **options) -> Graph:
-    return Graph(spark, table(spark, d, "supplier"), net_edges(spark, d), "src", "dst", "s_suppkey", start_col="d0", end_col="d1", **options)
+def net_graph(spark: SparkSession, d: str, edges=net_edges, **options) -> Graph:
+    return Graph(spark, table(spark, d, "supplier"), edges(spark, d), "src", "dst", "s_suppkey", start_col="d0", end_col="d1", **options)
+
+
+def whole_net_graph(spark: SparkSession, d: str, **options) -> Graph:
+    return net_graph(spark, d, whole_net_edges, **options)
