@@ -171,6 +171,20 @@ def test_same_names(spark):
     assert N.same_names(df.limit(0), "id", "name").count() == 0
 
 
+def test_many_spellings_of_one_firm(spark):
+    """A firm's own words stay distinctive however many spellings it has."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("bdfgklmnprstvz") + rng.choice("aeiou") for _ in range(4))
+    firm = [f"Tremandel Kasbrunno {i} {t}" for i in "ABCDFGHIJ" for t in ("Springs", "Optics", "Foods")] + ["Tremnadel Kasbrunno A Springs", "Tremandel Kasburnno B Optics"]
+    got = _clusters(spark, firm + [f"{word()} {word()}" for _ in range(80)])
+    assert frozenset(range(len(firm))) in got
+
+
+def test_names_of_kinds_only(spark):
+    got = _clusters(spark, ["Precision Bearings", "Precison Bearings", "Thomas Peter Optics", "Lafela Wirtviham Precision Bearings"])
+    assert frozenset({0, 1}) in got and frozenset({2}) in got and frozenset({3}) in got
+
+
 def test_average_linkage(spark):
     rng = random.Random(8)
     pairs = {(a, b): round(rng.random(), 3) for a in range(14) for b in range(a + 1, 14) if rng.random() < 0.45}
