@@ -180,6 +180,25 @@ def test_many_spellings_of_one_firm(spark):
     assert frozenset(range(len(firm))) in got
 
 
+def test_slips_at_either_end_meet(spark):
+    got = _clusters(spark, ["Volkswagen", "Volkswagne", "Tremandel Optics", "Rtemandel Optics", "Wotisom Fokonvi", "Owtismo Ofkonvi"])
+    assert frozenset({0, 1}) in got and frozenset({2, 3}) in got
+
+
+def test_close_names_are_all_found():
+    rng = random.Random(9)
+    names = [" ".join("".join(rng.choice("abcd") for _ in range(rng.randrange(2, 6))) for _ in range(2)) for _ in range(60)]
+    idf = {"^ab": 0.5, "cd$": 2.0}
+
+    def cosine(a, b):
+        u, v = [{g: N.grams(x.split(" ")).count(g) * idf.get(g, 1.5) for g in N.grams(x.split(" "))} for x in (a, b)]
+        return sum(w * v.get(g, 0) for g, w in u.items()) / np.sqrt(sum(w * w for w in u.values()) * sum(w * w for w in v.values()))
+
+    for i, found, _ in N.close_names(names[:30], names, idf, 1.5):
+        want = [j for j, x in enumerate(names) if cosine(names[i], x) >= N.LINK]
+        assert found.tolist() == want
+
+
 def test_names_of_kinds_only(spark):
     got = _clusters(spark, ["Precision Bearings", "Precison Bearings", "Thomas Peter Optics", "Lafela Wirtviham Precision Bearings"])
     assert frozenset({0, 1}) in got and frozenset({2}) in got and frozenset({3}) in got
