@@ -9,7 +9,7 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relgraph.operators.components import peeled
+from relgraph.operators.components import peeled, strong_groups
 from relgraph.operators.model import LIMITS, Graph, Limits, SubgraphTooLarge
 from relgraph.operators.traverse import search
 from relgraph.sources.scratch import Scratch, materialize
@@ -50,20 +50,38 @@ def _by_levels(links: DataFrame, start: DataFrame, operation: str, depth: int) -
 
 
 def _by_paths(links: DataFrame, start: DataFrame, operation: str, depth: int, limits: Limits) -> DataFrame:
-    """On a graph with cycles: every simple path by itself. Columns node, value."""
-    v, q = F.col("value"), F.col("q")
-    level = materialize(start.select("node", F.array("node").alias("path"), F.lit(1.0 if operation == "multiply" else 0.0 if operation == "sum" else None).cast("double").alias("value")))
+    """On a graph with cycles: one row per node, level and set of nodes passed in the node's strong group. Columns node, value.
+
+    A simple path that has left a strong group never comes back to it, so which nodes it may still enter depends on those
+    it has passed in its present group alone: paths that agree there go on as one.
+    """
+    v, n, q = F.col("value"), F.col("paths"), F.col("q")
+    groups = strong_groups(links.select("src", "dst").distinct())[0]
+    ours = groups.select(F.col("node").alias("src"), F.col("component").alias("a"))
+    theirs = groups.select(F.col("node").alias("dst"), F.col("component").alias("b"))
+    inside = F.coalesce(F.col("a") == F.col("b"), F.lit(False)) | (F.col("src") == F.col("dst"))
+    ways = materialize(links.join(ours, "src", "left").join(theirs, "dst", "left").select("src", "dst", "q", inside.alias("inside"))).df
+    first = F.lit(1.0 if operation == "multiply" else 0.0 if operation == "sum" else None).cast("double")
+    level = materialize(start.select("node", F.array("node").alias("passed"), first.alias("value"), F.lit(1.0).alias("paths")))
     levels: list[Scratch] = []
     total = 0
-    step = {"sum": v + q, "multiply": v * q, "max": F.greatest(v, q), "min": F.least(v, q)}[operation]
+    known = q.isNotNull()
+    paths = F.sum(F.when(known, n).otherwise(0.0)).alias("paths") if operation in ("sum", "multiply") else F.sum(n).alias("paths")
+    value = {
+        "sum": F.sum(F.when(known, v + n * q).otherwise(0.0)),
+        "multiply": F.sum(F.when(known, v * q).otherwise(0.0)),
+        "max": F.max(F.greatest(v, q)),
+        "min": F.min(F.least(v, q)),
+    }[operation]
     for _ in range(depth):
-        met = level.df.join(links, level.df["node"] == links["src"]).where(~F.array_contains("path", F.col("dst")))
-        level = materialize(met.select(F.col("dst").alias("node"), F.array_append("path", F.col("dst")).alias("path"), step.alias("value")))
+        met = level.df.join(ways, level.df["node"] == ways["src"]).where(~(F.col("inside") & F.array_contains("passed", F.col("dst"))))
+        passed = F.when(F.col("inside"), F.array_sort(F.array_append("passed", F.col("dst")))).otherwise(F.array("dst"))
+        level = materialize(met.select(F.col("dst").alias("node"), passed.alias("passed"), "value", "paths", "q").groupBy("node", "passed").agg(value.alias("value"), paths))
         total += level.rows
         if level.rows == 0:
             break
         if total > limits.max_paths:
-            raise SubgraphTooLarge(f"{total:,} simple paths, limit {limits.max_paths:,}; lower max_depth or filter the edges")
+            raise SubgraphTooLarge(f"{total:,} ways through cycles, limit {limits.max_paths:,}; lower max_depth or filter the edges")
         levels.append(level)
     if not levels:
         return level.df.select("node", "value").limit(0)
@@ -78,8 +96,8 @@ def aggregate_paths(g: Graph, start_id: Any, value_col: str, operation: str = "s
     value voids the paths over it for sum and multiply and is passed over by max and min; a node with void paths only
     gets 0. max_depth 0 and a start without edges give no rows.
 
-    If the reachable edges prove acyclic, levels are combined per node (cost levels times edges); otherwise the simple
-    paths are enumerated, up to limits.max_paths.
+    If the reachable edges prove acyclic, levels are combined per node (cost levels times edges); otherwise per node and
+    set of nodes passed in its strong group, up to limits.max_paths such rows.
     """
     if operation not in OPERATIONS:
         raise ValueError(f"operation must be one of {OPERATIONS}")

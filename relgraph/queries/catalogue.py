@@ -11,7 +11,7 @@ from relgraph.operators.model import LIMITS, Graph
 from relgraph.operators.network import degree_centrality
 from relgraph.operators.paths import distances, path_distances, paths_within
 from relgraph.operators.traverse import multi_source, traverse_graph
-from relgraph.queries.graph import _END, _PATHS_SQL, BOM, DAG_SQL, DAG_START_SQL, HOPS, NET_SQL, PARENT, _edges_sql, _end, _parent, _reach_sql
+from relgraph.queries.graph import _END, _PATHS_SQL, BOM, DAG_SQL, DAG_START_SQL, HOPS, NET_SQL, PARENT, _edges_sql, _end, _parent, _reach_sql, whole_explosion
 from relgraph.sources.derived import dag_edges, dag_start, net_edges, net_graph, parts_graph, valid_rows, valid_sql, whole_net_edges
 from relgraph.sources.tables import table
 
@@ -165,13 +165,17 @@ SELECT node, CAST(min(hops) AS INTEGER) AS hops FROM r GROUP BY node""",
 )
 
 
-def q41_explosion_and_stock(spark: SparkSession, d: str) -> DataFrame:
-    """Parts that one structure needs in greater quantity than their minimum stock level."""
-    need = aggregate_paths(parts_graph(spark, d), _parent(spark, d), "quantity", "multiply", max_depth=3)
+def _above_stock(spark: SparkSession, d: str, need: DataFrame) -> DataFrame:
     stock = valid_rows(table(spark, d, "parts")).select(F.col("id").alias("node"), "min_stock_level")
     return need.join(stock, "node").where(F.col("value") > F.col("min_stock_level")).select("node", "value", "min_stock_level")
 
 
+def q41_explosion_and_stock(spark: SparkSession, d: str) -> DataFrame:
+    """Parts that three levels of one structure need in greater quantity than their minimum stock level."""
+    return _above_stock(spark, d, aggregate_paths(parts_graph(spark, d), _parent(spark, d), "quantity", "multiply", max_depth=3))
+
+
+_add("q41_explosion_and_stock_whole", lambda s, d: _above_stock(s, d, whole_explosion(s, d)))
 _add(
     "q41_explosion_and_stock", q41_explosion_and_stock,
     f"""WITH RECURSIVE e AS (SELECT CAST(parent_part_id AS BIGINT) AS a, CAST(child_part_id AS BIGINT) AS b, CAST(quantity AS DOUBLE) AS q FROM bill_of_materials WHERE parent_part_id IS NOT NULL AND child_part_id IS NOT NULL),

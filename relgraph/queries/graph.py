@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -188,6 +189,17 @@ w AS (SELECT b AS node, [a, b] AS path, q AS value FROM e WHERE a = {PARENT} AND
 SELECT node, coalesce(sum(value), 0.0) AS value FROM w GROUP BY node""",
 )
 
+#: Deep enough for any structure: the search ends with its last level.
+WHOLE_DEPTH = replace(LIMITS, max_depth=1_000_000)
+
+
+def whole_explosion(spark: SparkSession, d: str) -> DataFrame:
+    """node, depth, value: quantities of the bill of materials as recorded, to its full depth."""
+    return aggregate_paths(parts_graph(spark, d), _parent(spark, d), "quantity", "multiply", max_depth=WHOLE_DEPTH.max_depth, limits=WHOLE_DEPTH)
+
+
+_add("g3_real_explosion_whole", lambda s, d: whole_explosion(s, d).select("node", "value"))
+
 # Shortest paths ----------------------------------------------------------------------------------------------------
 
 HOPS = 7
