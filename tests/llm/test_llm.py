@@ -63,23 +63,89 @@ def _edit(rng, tokens, n):
     return out
 
 
-def test_filter_loses_nothing():
+def _has_exact(item, doc):
+    """EXACT_WORDS consecutive words of the item, however the document parts them."""
+    ends, joined = {0}, ""
+    for t in doc:
+        joined += t
+        ends.add(len(joined))
+    for i in range(len(item) - 12):
+        run = "".join(item[i : i + 13])
+        if any(joined.startswith(run, p) and p + len(run) in ends for p in ends):
+            return True
+    return False
+
+
+def _has_loose(item, doc):
+    """Every beginning of a passage against the whole document, without bands: least edits, joined words for nothing."""
+    m = len(doc)
+    for i in range(len(item) - 23):
+        rows = [[0] * (m + 1)]
+        for n in range(1, min(47, len(item) - i) + 1):
+            t, prev = item[i + n - 1], rows[-1]
+            row = [prev[0] + 1]
+            for j in range(1, m + 1):
+                v = min(prev[j] + 1, row[j - 1] + 1, prev[j - 1] + (doc[j - 1] != t))
+                if j > 1 and doc[j - 2] + doc[j - 1] == t:
+                    v = min(v, prev[j - 2])
+                if n > 1 and item[i + n - 2] + t == doc[j - 1]:
+                    v = min(v, rows[-2][j - 1])
+                row.append(v)
+            rows.append(row)
+            if n >= 24 and min(row) <= n // 8:
+                return True
+            if min(row) > 5:
+                break
+    return False
+
+
+@pytest.mark.parametrize("letters", ["abcdefghij", "абвгдежзик漢字語"])
+def test_filter_loses_nothing(letters):
     rng = random.Random(6)
-    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randrange(1, 10)))
-    items = [(i, " ".join(word() for _ in range(60))) for i in range(25)]
+    word = lambda: "".join(rng.choice(letters) for _ in range(rng.randrange(1, 10)))
+    items = [(i, " ".join(word() for _ in range(55))) for i in range(6)]
     index = L.ItemIndex(items)
-    for trial in range(150):
+    for trial in range(60):
         i, text = rng.choice(items)
         t = text.split()
         loose = trial % 2
         n = rng.randrange(24, 48) if loose else 13
         a = rng.randrange(0, len(t) - n + 1)
-        part = t[a : a + n]
-        part = _edit(rng, part, n // 8) if loose else part
-        doc = [word() for _ in range(rng.randrange(0, 80))] + part + [word() for _ in range(rng.randrange(0, 80))]
-        want = [k for k, x in items if L.has_exact_run(x.split(), doc) or L.has_loose_run(x.split(), doc)]
+        part = _edit(rng, t[a : a + n], n // 8) if loose else t[a : a + n]
+        doc = [word() for _ in range(rng.randrange(0, 60))] + part + [word() for _ in range(rng.randrange(0, 60))]
+        want = [k for k, x in items if _has_exact(x.split(), doc) or _has_loose(x.split(), doc)]
         assert i in want
-        assert L.leaked(" ".join(doc), index) == sorted(want)
+        assert index.leaked(doc) == sorted(want)
+        cut = _edit(rng, _edit(rng, doc, 8), 6)  # mostly too many edits
+        assert index.leaked(cut) == sorted(k for k, x in items if _has_exact(x.split(), cut) or _has_loose(x.split(), cut))
+
+
+def test_long_items_and_repeating_words():
+    rng = random.Random(1)
+    word = lambda: "".join(rng.choice("бвгджзклмнпрст") for _ in range(rng.randrange(3, 9)))
+    long = [word() for _ in range(240_000)]
+    index = L.ItemIndex([(1, " ".join(long)), (2, " ".join(word() for _ in range(80)))])
+    assert len(index.texts[0]) > 1_200_000
+    assert L.leaked("xx " * 3 + " ".join(long[-60:-20]), index) == [1]
+    part = long[-60:-20]
+    part[5] = part[17] = part[30] = "other"
+    assert L.leaked(" ".join([word() for _ in range(3000)] + part), index) == [1]
+    assert L.leaked(" ".join(word() for _ in range(3000)), index) == []
+    again = L.ItemIndex([(1, "ha " * 300 + "the end"), (2, "so it goes " * 100)])
+    assert L.leaked("ha " * 20_000, again) == [1] and L.leaked("ha xo " * 20_000, again) == []
+
+
+def test_long_words_and_word_breaks():
+    item = [f"w{chr(97 + i // 26)}{chr(97 + i % 26)}rd" for i in range(60)]
+    index = L.ItemIndex([(1, " ".join(item))])
+    doc = item[:24]
+    doc[3:3] = ["x" * 50_000]
+    doc[12] = "y" * 70_000
+    assert L.leaked(" ".join(doc), index) == [1]
+    doc = item[:24]
+    doc[4:6], doc[10:12] = ["".join(doc[4:6])], ["".join(doc[10:12])]
+    doc[6], doc[15], doc[19] = "other", "other", "other"
+    assert L.leaked(" ".join(doc), index) == [1]
 
 
 def test_leak_limits_and_disguises(spark):
