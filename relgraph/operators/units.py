@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import math
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from relgraph.sources.scratch import materialize
+
 # Unit -> (base unit, size of one unit in the base unit, spellings in lower case).
 UNITS: dict[str, tuple[str, float, tuple[str, ...]]] = {
     "each": ("each", 1.0, ("each", "ea", "st", "pc", "pcs", "piece", "pieces", "nos", "no", "stk", "single piece", "single pieces")),
@@ -29,8 +34,12 @@ UNITS: dict[str, tuple[str, float, tuple[str, ...]]] = {
     "floz": ("L", 0.0295735295625, ("floz", "fl oz", "fl.oz.", "fl. oz.", "us fluid ounce", "us fluid ounces", "fluid ounce", "fluid ounces")),
 }
 BASES = ("each", "kg", "m", "L")
-#: Two records of one measure agree if their ratio is within this factor of a known conversion.
-SNAP = 1.1
+#: A scale is a known conversion if it is within the factor SNAP of it; a record belongs to a scale within the factor NEAR.
+SNAP, NEAR = 1.1, 1.15
+#: Ratios are counted in bins of so much of their logarithm, from -WIDEST to WIDEST; a group reaches this factor either way.
+BIN, WIDEST, GROUP = 0.002, 40.0, 1.35
+#: A link between sources counts from so many records on, its offset from so many and above this share of the values.
+LEAST_RECORDS, OFFSET_RECORDS, OFFSET = 5, 20, 0.1
 _SPELLED = {s: u for u, (_, _, spellings) in UNITS.items() for s in spellings}
 
 
@@ -81,13 +90,15 @@ def base_of(unit: Column) -> Column:
     return F.try_element_at(F.create_map(*[F.lit(x) for u, (b, _, _) in UNITS.items() for x in (u, b)]), unit)
 
 
-def snapped_unit(ratio: Column, base: str) -> Column:
+def snapped_unit(ratio: float, base: str) -> str | None:
     """The unit in which a value is recorded that is ``ratio`` times its true value in the base unit.
 
-    The nearest known conversion within the factor SNAP; null if none is that near, or without a positive ratio.
+    The nearest known conversion within the factor SNAP; None if none is that near, or without a positive ratio.
     """
-    miss = F.array_sort(F.array(*[F.struct(F.abs(F.log(ratio * F.lit(f))).alias("off"), F.lit(u).alias("unit")) for u, (b, f, _) in UNITS.items() if b == base]))
-    return F.when((ratio > 0) & (miss[0]["off"] <= F.log(F.lit(SNAP))), miss[0]["unit"])
+    if not ratio > 0:
+        return None
+    off, unit = min((abs(math.log(ratio * f)), u) for u, (b, f, _) in UNITS.items() if b == base)
+    return unit if off <= math.log(SNAP) else None
 
 
 def linked_measures(parts: DataFrame) -> DataFrame:
@@ -104,76 +115,167 @@ def linked_measures(parts: DataFrame) -> DataFrame:
     return parts.select("id", F.inline(F.array(*rows)).alias("base", "recorded", "stated", "stated_unit", "sure")).distinct()
 
 
-def pairwise_scales(links: DataFrame) -> DataFrame:
-    """Robust scale and offset between every two sources of a measure, snapped to known conversions.
-
-    A source is a column or the descriptions in one stated unit. Ratios between two sources fall into groups, one per
-    unit; of each group: base, source_a, source_b, unit (snapped; null: no known conversion), n, scale (median ratio
-    b / a), offset (median of b - scale * a).
-    """
-    column = F.concat(F.lit("column:"), F.col("base"))
+def _link_rows(links: DataFrame) -> DataFrame:
+    """base, source_a, source_b, a, b: two statements of one record side by side, for every two sources."""
+    column, sure = F.concat(F.lit("column:"), F.col("base")), F.concat(F.lit("sure:"), F.col("base"))
     text = F.concat(F.lit("text:"), F.col("stated_unit"))
-    sure = F.concat(F.lit("sure:"), F.col("base"))
-    size = factor(F.col("stated_unit"))
 
-    def pair(a: Column, b: Column, va: Column, vb: Column, known: Column) -> Column:
-        return F.struct(a.alias("source_a"), b.alias("source_b"), va.alias("a"), vb.alias("b"), known.alias("known"))
+    def pair(a: Column, b: Column, va: str, vb: str) -> Column:
+        return F.struct(a.alias("source_a"), b.alias("source_b"), F.col(va).alias("a"), F.col(vb).alias("b"))
+
+    pairs = F.array(pair(sure, column, "sure", "recorded"), pair(text, column, "stated", "recorded"), pair(sure, text, "sure", "stated"))
+    return links.select("base", F.inline(pairs).alias("source_a", "source_b", "a", "b")).where((F.col("a") > 0) & (F.col("b") > 0))
+
 
-    pairs = F.array(
-        pair(sure, column, F.col("sure"), F.col("recorded"), F.lit(1.0)),
-        pair(text, column, F.col("stated"), F.col("recorded"), size),
-        pair(sure, text, F.col("sure"), F.col("stated"), F.lit(1.0)),
+def _bin(ratio: Column) -> Column:
+    return F.round(F.greatest(F.lit(-WIDEST), F.least(F.lit(WIDEST), F.log(ratio))) / BIN).cast("int")
+
+
+def ratio_groups(bins: list[tuple[int, int]]) -> list[tuple[float, int]]:
+    """(scale, n) of the groups into which ratios fall, largest first; bins: (bin of the logarithm, rows).
+
+    The fullest place, smoothed over neighbouring bins, gathers all ratios within the factor GROUP; the rest goes round
+    again. The scale of a group is its median, so single wrong values do not move it.
+    """
+    left, out = dict(bins), []
+    near, half = round(0.02 / BIN), math.log(GROUP) / BIN
+    full = {k: sum(left.get(k + d, 0) for d in range(-near, near + 1)) for k in left}
+    for top in sorted(full, key=lambda k: (-full[k], abs(k), k)):
+        if top not in left:
+            continue
+        inside = sorted(k for k in left if abs(k - top) <= half)
+        n = sum(left[k] for k in inside)
+        seen = 0
+        for k in inside:
+            seen += left[k]
+            if 2 * seen >= n:
+                out.append((math.exp(k * BIN), n))
+                break
+        for k in inside:
+            del left[k]
+    return sorted(out, key=lambda g: (-g[1], g[0]))
+
+
+@dataclass(frozen=True)
+class Link:
+    """b = scale * a + offset between two sources, from n records; offset is 0 unless it matters. groups: see ratio_groups."""
+
+    base: str
+    source_a: str
+    source_b: str
+    n: int
+    scale: float
+    offset: float
+    groups: tuple[tuple[float, int], ...]
+
+
+def pairwise_scales(links: DataFrame) -> list[Link]:
+    """Robust scale and offset between every two sources of a measure, from all records that both state.
+
+    A source is a column or the descriptions in one spelled unit. Ratios are counted in bins of their logarithm, at most
+    2 * WIDEST / BIN for each pair of sources, of which there are as many as units; the scale is the median of the largest
+    group. The offset is that of the resistant line through the medians of the lower and the upper third of the values;
+    it counts from OFFSET_RECORDS records on and if it is more than the share OFFSET of the middle value, and then the
+    scale is the slope of that line. Mixed columns are tested for an offset within their largest group only.
+    """
+    rows = _link_rows(links)
+    keys = ["base", "source_a", "source_b"]
+    counted = rows.groupBy(*keys, _bin(F.col("b") / F.col("a")).alias("bin")).count().collect()
+    per: dict[tuple, list] = {}
+    for r in counted:
+        per.setdefault((r["base"], r["source_a"], r["source_b"]), []).append((r["bin"], r["count"]))
+    groups = {k: ratio_groups(v) for k, v in per.items()}
+    if not groups:
+        return []
+    # One row a pair of sources is broadcast.
+    spark = links.sparkSession
+    main = F.broadcast(spark.createDataFrame([(*k, g[0][0]) for k, g in groups.items()], "base string, source_a string, source_b string, main double"))
+    alike = F.col("source_b").startswith("text:") | (F.abs(F.log(F.col("b") / F.col("a") / F.col("main"))) <= math.log(GROUP))
+    in_line = rows.join(main, keys).where(alike)
+    thirds = F.broadcast(in_line.groupBy(*keys).agg(F.percentile_approx("a", F.array(F.lit(1 / 3), F.lit(2 / 3)), 1000).alias("t"), F.count(F.lit(1)).alias("of")))
+    low, high = F.col("a") <= F.col("t")[0], F.col("a") >= F.col("t")[1]
+
+    def median(column: str, where: Column, name: str) -> Column:
+        return F.percentile_approx(F.when(where, F.col(column)), 0.5, 1000).alias(name)
+
+    lines = in_line.join(thirds, keys).groupBy(*keys, "of").agg(
+        median("a", low, "a0"), median("b", low, "b0"), median("a", high, "a1"), median("b", high, "b1"), F.percentile_approx("b", 0.5, 1000).alias("middle")
     )
-    rows = links.select("base", F.inline(pairs).alias("source_a", "source_b", "a", "b", "known")).where((F.col("a") > 0) & (F.col("b") > 0))
-    ratio = F.col("b") / F.col("a") / F.col("known")
-    rows = rows.withColumn("unit", F.when(F.col("base") == "kg", snapped_unit(ratio, "kg")).otherwise(snapped_unit(ratio, "m")))
-    keys = ["base", "source_a", "source_b", "unit"]
-    scales = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.percentile_approx(F.col("b") / F.col("a"), 0.5, 10000).alias("scale"))
-    def same(suffix: str) -> Column:
-        return F.expr(" AND ".join(f"{k} <=> {k}{suffix}" for k in keys))
-
-    # At most a row per unit and pair of sources is broadcast.
-    of_rows = F.broadcast(scales.select(*[F.col(k).alias(f"{k}_s") for k in keys], F.col("scale").alias("scale_s")))
-    offsets = rows.join(of_rows, same("_s")).groupBy(*keys).agg(F.percentile_approx(F.col("b") - F.col("scale_s") * F.col("a"), 0.5, 10000).alias("offset"))
-    of_scales = F.broadcast(offsets.select(*[F.col(k).alias(f"{k}_o") for k in keys], "offset"))
-    return scales.join(of_scales, same("_o")).select(*keys, "n", "scale", "offset")
-
-
-def propagate(scales: list[tuple[str, str, str | None, float]], bases: tuple[str, ...] = ("kg", "m")) -> dict[str, float]:
-    """Factor from each text source to its base unit, along the graph of pairwise scales.
-
-    scales: (source_a, source_b, snapped unit, n). Walks from the sources that are sure, strongest link first. A text
-    source that no link reaches keeps what its own unit says; one whose links snap to another unit follows the links.
+    out = []
+    for r in lines.collect():
+        key = (r["base"], r["source_a"], r["source_b"])
+        g = groups[key]
+        scale, offset = g[0][0], 0.0
+        if r["of"] >= OFFSET_RECORDS and r["a1"] > r["a0"]:
+            slope = (r["b1"] - r["b0"]) / (r["a1"] - r["a0"])
+            base_line = (r["b0"] + r["b1"] - slope * (r["a0"] + r["a1"])) / 2
+            if slope > 0 and abs(base_line) > OFFSET * r["middle"]:
+                scale, offset = slope, base_line
+        out.append(Link(*key, sum(n for _, n in g), scale, offset, tuple(g)))
+    return sorted(out, key=lambda x: (x.base, x.source_a, x.source_b))
+
+
+def source_factors(found: list[Link]) -> dict[str, tuple[float, float]]:
+    """(factor, offset) by source: true value in the base unit = factor * (stated value - offset).
+
+    Walks the graph of sources from those that are sure, the link with most records first. Where no column is sure, the
+    anchor is the unit that the column itself is meant for, as most of its records have it. Each factor is the product of
+    the estimated scales on the way, snapped to a known conversion if one is near. Sources that no link of LEAST_RECORDS
+    records reaches keep what their own unit says.
     """
-    known = {f"sure:{b}": 1.0 for b in bases}
-    links = sorted(((n, a, b, u) for a, b, u, n in scales if u is not None), reverse=True)
-    grown = True
-    while grown:
-        grown = False
-        for _, a, b, u in links:
-            if a in known and b not in known and b.startswith("text:"):
-                known[b] = known[a] * UNITS[u][1]
+    known: dict[str, tuple[float, float]] = {}
+    for base in dict.fromkeys(x.base for x in found):
+        mine = [x for x in found if x.base == base and x.n >= LEAST_RECORDS]
+        sure = f"sure:{base}"
+        known[sure if any(x.source_a == sure for x in found) else f"column:{base}"] = (1.0, 0.0)
+        grown = True
+        while grown:
+            grown = False
+            for x in sorted(mine, key=lambda x: (-x.n, x.source_a, x.source_b)):
+                a, b = known.get(x.source_a), known.get(x.source_b)
+                if (a is None) == (b is None):
+                    continue
+                # The two sources agree where a's true value is that of b = scale * a + offset.
+                size = a[0] / x.scale if b is None else b[0] * x.scale
+                unit = snapped_unit(1 / size, base)
+                size = UNITS[unit][1] if unit else size
+                if b is None:
+                    known[x.source_b] = (size, x.offset)
+                else:
+                    known[x.source_a] = (size, -x.offset / x.scale)
                 grown = True
-    for u, (base, f, _) in UNITS.items():
-        if base in bases:
-            known.setdefault(f"text:{u}", f)
-    return {k[5:]: v for k, v in known.items() if k.startswith("text:")}
+                break
+    for u, (_, f, _) in UNITS.items():
+        known.setdefault(f"text:{u}", (f, 0.0))
+    return known
 
 
 def recorded_units(parts: DataFrame) -> DataFrame:
     """The unit in which each part's mass and length is recorded: id, base, recorded, unit, value (in the base unit).
 
     What the part's other statements say of the same measure gives the true value: first the sure column, then the
-    description, whose factors come from the graph of sources. The ratio of recorded to true value is snapped to a known
-    conversion. Without another statement, or if no conversion fits, unit and value are null.
+    description, whose factor and offset come from the graph of sources. The ratios of recorded to true values of all
+    records fall into groups; each group's median is snapped to a known conversion, and a record has the unit of the
+    group whose scale is next to its own ratio, within the factor NEAR. Without another statement, or if no group fits,
+    unit and value are null.
     Repeated rows come out once. Nulls, zeros and negative numbers state nothing. An empty table gives no rows.
     """
-    links = linked_measures(parts)
-    found = pairwise_scales(links).where(F.col("source_a").startswith("sure:") & F.col("source_b").startswith("text:"))
-    scales = [(r["source_a"], r["source_b"], r["unit"], r["n"]) for r in found.collect()]  # at most units squared rows
-    size = F.try_element_at(F.create_map(*[F.lit(x) for pair in propagate(scales).items() for x in pair]), F.col("stated_unit"))
-    true = F.coalesce(F.when(F.col("sure") > 0, F.col("sure")), F.when(F.col("stated") > 0, F.col("stated") * size))
-    ratio = F.col("recorded") / true
-    unit = F.when(F.col("base") == "kg", snapped_unit(ratio, "kg")).otherwise(snapped_unit(ratio, "m"))
-    out = links.where(F.col("recorded").isNotNull()).withColumn("unit", unit)
+    links = materialize(linked_measures(parts)).df
+    sizes = source_factors(pairwise_scales(links))
+
+    def of_text(at: int) -> Column:
+        return F.try_element_at(F.create_map(*[F.lit(x) for k, v in sizes.items() if k.startswith("text:") for x in (k[5:], v[at])]), F.col("stated_unit"))
+
+    stated = of_text(0) * (F.col("stated") - of_text(1))
+    true = F.coalesce(F.when(F.col("sure") > 0, F.col("sure")), F.when((F.col("stated") > 0) & (stated > 0), stated))
+    judged = links.where(F.col("recorded").isNotNull()).withColumn("ratio", F.when(F.col("recorded") > 0, F.col("recorded") / true))
+    per: dict[str, list] = {}
+    for r in judged.where(F.col("ratio") > 0).groupBy("base", _bin(F.col("ratio")).alias("bin")).count().collect():
+        per.setdefault(r["base"], []).append((r["bin"], r["count"]))
+    scales = [(base, math.log(scale), unit) for base, bins in per.items() for scale, _ in ratio_groups(bins) if (unit := snapped_unit(scale, base))]
+    unit = F.lit(None).cast("string")
+    if scales:
+        nearest = F.array_min(F.array(*[F.when(F.col("base") == b, F.struct(F.abs(F.log("ratio") - F.lit(s)).alias("off"), F.lit(u).alias("unit"))) for b, s, u in scales]))
+        unit = F.when(nearest["off"] <= math.log(NEAR), nearest["unit"])
+    out = judged.withColumn("unit", unit)
     return out.select("id", "base", "recorded", "unit", (F.col("recorded") * factor(F.col("unit"))).alias("value"))
