@@ -75,12 +75,11 @@ def peeled(edges: DataFrame, share: float = PEEL_SHARE):
     return left
 
 
-def coloured_search(src: np.ndarray, dst: np.ndarray) -> tuple[list[list], list[tuple]]:
+def coloured_search(src: np.ndarray, dst: np.ndarray) -> list[list]:
     """Depth-first search with node colours over whole components, without recursion.
 
-    White nodes are unseen, grey ones on the current path, black ones done. An edge to a grey node is a back edge and
-    closes a cycle; the nodes that share a cycle come out as one group. Returns (groups of two and more nodes or with a
-    self loop, back edges). Nodes are visited in ascending order, so the result depends on the edges alone.
+    White nodes are unseen, grey ones on the current path, black ones done. An edge to a grey node closes a cycle; the
+    nodes that share a cycle come out as one group. Returns the groups of two and more nodes or with a self loop.
     """
     nodes = np.unique(np.r_[src, dst])
     s, d = np.searchsorted(nodes, src), np.searchsorted(nodes, dst)
@@ -93,7 +92,7 @@ def coloured_search(src: np.ndarray, dst: np.ndarray) -> tuple[list[list], list[
     colour, seen, low = [white] * n, [0] * n, [0] * n
     open_nodes: list[int] = []
     is_open = [False] * n
-    groups, back = [], []
+    groups = []
     clock = 0
     for root in range(n):
         if colour[root] != white:
@@ -117,11 +116,8 @@ def coloured_search(src: np.ndarray, dst: np.ndarray) -> tuple[list[list], list[
                     is_open[u] = True
                     at[u] = first[u]
                     path.append(u)
-                else:
-                    if colour[u] == grey:
-                        back.append((nodes[v], nodes[u]))
-                    if is_open[u]:
-                        low[v] = min(low[v], seen[u])
+                elif is_open[u]:  # grey, or black in a group that is not yet closed
+                    low[v] = min(low[v], seen[u])
                 continue
             path.pop()
             del at[v]
@@ -138,7 +134,7 @@ def coloured_search(src: np.ndarray, dst: np.ndarray) -> tuple[list[list], list[
                         break
                 if len(group) > 1 or v in d[first[v] : first[v + 1]]:
                     groups.append(sorted(nodes[x] for x in group))
-    return groups, back
+    return groups
 
 
 def _search_partition(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -146,9 +142,8 @@ def _search_partition(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]
     if not parts:
         return
     pdf = pd.concat(parts)
-    groups, back = coloured_search(pdf["src"].to_numpy(), pdf["dst"].to_numpy())
-    rows = [("group", g[0], x) for g in groups for x in g] + [("back", a, b) for a, b in back]
-    yield pd.DataFrame(rows, columns=["kind", "a", "b"])
+    groups = coloured_search(pdf["src"].to_numpy(), pdf["dst"].to_numpy())
+    yield pd.DataFrame([(g[0], x) for g in groups for x in g], columns=["component", "node"])
 
 
 def _reach(edges: DataFrame, start: DataFrame) -> DataFrame:
@@ -202,12 +197,12 @@ def strong_groups(edges: DataFrame, local_edges: int = LOCAL_EDGES) -> tuple[Dat
     """Groups of nodes that reach each other, and the back edges that close their cycles.
 
     edges: src, dst (long). Returns (component, node) for groups of two and more nodes and for nodes with a self loop,
-    component being the smallest node, and (src, dst) of back edges of the coloured search.
+    component being the smallest node, and (src, dst) of the back edges: with the nodes of a group taken in ascending
+    order, the edges inside it that do not ascend. Without them no cycle is left.
 
     Edges that cannot lie on a cycle are peeled off first; the rest falls into weak components, each is brought into
     one task and searched depth-first with colours. A weak component of more than local_edges edges would not be safe in
-    one task and is split by joins instead; of it no back edges come out but those between members of one group that
-    lead to a smaller node.
+    one task and is split by joins instead, with the same results.
     """
     pairs = edges.where(F.col("src").isNotNull() & F.col("dst").isNotNull()).select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"))
     all_ = materialize(pairs.distinct())
@@ -219,14 +214,12 @@ def strong_groups(edges: DataFrame, local_edges: int = LOCAL_EDGES) -> tuple[Dat
     big = [r[0] for r in sizes.where(F.col("count") > local_edges).select("component").collect()]  # at most edges / local_edges rows
     small = labelled.df.where(~F.col("component").isin(big)) if big else labelled.df
     tasks = max(1, -(-labelled.rows // TASK_EDGES), min(8, labelled.rows // 1000))
-    result = materialize(small.repartition(tasks, "component").select("src", "dst").mapInPandas(_search_partition, "kind string, a long, b long"))
-    groups = result.df.where(F.col("kind") == "group").select(F.col("a").alias("component"), F.col("b").alias("node"))
-    back = result.df.where(F.col("kind") == "back").select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    groups = small.repartition(tasks, "component").select("src", "dst").mapInPandas(_search_partition, "component long, node long")
     if big:
-        inside = labelled.df.where(F.col("component").isin(big)).select("src", "dst")
-        more = materialize(strong_labels_by_joins(inside)).df
-        groups = groups.union(more)
-        ends = inside.join(more.select(F.col("node").alias("src"), F.col("component").alias("c1")), "src").join(more.select(F.col("node").alias("dst"), F.col("component").alias("c2")), "dst")
-        back = back.union(ends.where((F.col("c1") == F.col("c2")) & (F.col("dst") < F.col("src"))).select("src", "dst"))
+        groups = groups.union(strong_labels_by_joins(labelled.df.where(F.col("component").isin(big)).select("src", "dst")))
+    groups = materialize(groups).df
+    ours, theirs = groups.select(F.col("node").alias("src"), F.col("component").alias("c1")), groups.select(F.col("node").alias("dst"), F.col("component").alias("c2"))
+    inside = labelled.df.select("src", "dst").where(F.col("dst") < F.col("src")).join(ours, "src").join(theirs, "dst")
+    back = inside.where(F.col("c1") == F.col("c2")).select("src", "dst")
     alone = loops.select(F.col("src").alias("node")).join(groups, "node", "left_anti").select(F.col("node").alias("component"), "node")
     return groups.union(alone), back.union(loops)

@@ -7,8 +7,13 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from relgraph.operators.components import LOCAL_EDGES, strong_groups
-from relgraph.sources.scratch import materialize
+from relgraph.operators.components import LOCAL_EDGES, TASK_EDGES, strong_groups
+from relgraph.operators.model import ANY_DEPTH
+from relgraph.operators.traverse import search
+from relgraph.sources.scratch import materialize, shuffles_of
+
+#: Lengths of ways that one job counts.
+LENGTHS = 8
 
 
 class Hierarchy:
@@ -20,12 +25,14 @@ class Hierarchy:
 
     Cycles are found component by component with a coloured depth-first search (components.strong_groups). Since shared
     children tie almost all parts of a real catalogue into one weak component, which no task could hold, the peeled rest
-    is what is split into components, and depth, paths and closure run level by level as joins over all components.
+    is what is split into components, and depth, paths and closure run as joins over all components: searches that enter
+    each place once a root, and counts of ways by length, several lengths a job.
     """
 
     def __init__(self, links: DataFrame, parent: str, child: str, local_edges: int = LOCAL_EDGES):
         edges = links.select(F.col(parent).cast("long").alias("src"), F.col(child).cast("long").alias("dst"))
-        self.edges = materialize(edges.where(F.col("src").isNotNull() & F.col("dst").isNotNull()).distinct()).df
+        held = materialize(edges.where(F.col("src").isNotNull() & F.col("dst").isNotNull()).distinct())
+        self.spark, self.edges, self._edge_rows = links.sparkSession, held.df, held.rows
         groups, back = strong_groups(self.edges, local_edges)
         self.groups, self.back_edges = groups, back
         self._places: DataFrame | None = None
@@ -54,20 +61,49 @@ class Hierarchy:
             self._links = materialize(links.join(on, "dst", "left").select("src", "dst", F.coalesce("on", F.lit(False)).alias("more"))).df
         return self._places, self._links
 
-    def _levels(self, start: DataFrame, step) -> DataFrame:
-        """Union of all levels from start on; step(level, links) gives the next one. Ends since places are acyclic."""
-        _, links = self._condense()
-        held = links.repartition("src").persist()
-        levels = [materialize(start)]
-        while levels[-1].rows:
-            levels.append(materialize(step(levels[-1].df.where("more"), held)))
-        held.unpersist()
-        return reduce(DataFrame.unionAll, [x.df for x in levels])
+    def _partitions(self) -> int:
+        """Partitions of the links: so many that a task takes TASK_EDGES of them."""
+        return max(self._edge_rows // TASK_EDGES, 8)
 
     def _roots(self) -> DataFrame:
         places, links = self._condense()
         return places.select("place").distinct().join(links.select(F.col("dst").alias("place")), "place", "left_anti")
 
+    def _shortest(self) -> DataFrame:
+        """place, depth, path: the least of the shortest ways from the roots; every place is entered once."""
+        _, links = self._condense()
+        level = materialize(self._roots().select("place", F.lit(0).alias("depth"), F.array("place").alias("path"), F.lit(True).alias("more")))
+        levels = [level]
+        while level.rows:
+            met = level.df.where("more").drop("more").join(links, F.col("place") == F.col("src")).groupBy(F.col("dst").alias("place"), "more").agg(F.min("path").alias("path"))
+            seen = reduce(DataFrame.unionAll, [x.df.select("place") for x in levels])
+            new = met.join(seen, "place", "left_anti").select("place", F.lit(len(levels)).alias("depth"), F.array_append("path", F.col("place")).alias("path"), "more")
+            level = materialize(new)
+            levels.append(level)
+        return reduce(DataFrame.unionAll, [x.df for x in levels]).drop("more")
+
+    def _ways(self) -> DataFrame:
+        """place, max_depth, n_paths: the numbers of ways of each length add up. Several lengths make one job."""
+        _, links = self._condense()
+        held = links.repartition(self._partitions(), "src").persist()  # recomputed from its table where an executor is lost
+        level = materialize(self._roots().select("place", F.lit(0).alias("length"), F.lit(1).cast("decimal(38,0)").alias("n"), F.lit(True).alias("more")))
+        levels, last = [level], 0
+        while True:
+            cur, steps = levels[-1].df.where((F.col("length") == last) & F.col("more")), []
+            for k in range(last + 1, last + 1 + LENGTHS):
+                met = cur.where("more").select("place", "n").join(held, F.col("place") == F.col("src"))
+                cur = met.groupBy(F.col("dst").alias("place"), "more").agg(F.sum("n").cast("decimal(38,0)").alias("n")).select("place", F.lit(k).alias("length"), "n", "more")
+                steps.append(cur)
+            last += LENGTHS
+            levels.append(materialize(reduce(DataFrame.unionAll, steps), ends=F.count_if((F.col("length") == last) & F.col("more"))))
+            if not levels[-1].seen["ends"]:
+                break
+        per = materialize(reduce(DataFrame.unionAll, [x.df for x in levels]).groupBy("place").agg(F.max("length").alias("max_depth"), F.sum("n").cast("decimal(38,0)").alias("n_paths")))
+        held.unpersist()
+        for x in levels:
+            x.drop()
+        return per.df
+
     def nodes(self) -> DataFrame:
         """One row per node: node, in_cycle, depth, max_depth, n_paths, root, path.
 
@@ -76,35 +112,24 @@ class Hierarchy:
         a cycle standing under the cycle's id; root: its first element.
         """
         places, _ = self._condense()
-        start = self._roots().select("place", F.lit(0).alias("depth"), F.array("place").alias("path"), F.lit(1).cast("decimal(38,0)").alias("n_paths"), F.lit(True).alias("more"))
-
-        def step(level: DataFrame, links: DataFrame) -> DataFrame:
-            joined = level.join(links, level["place"] == links["src"])
-            out = joined.groupBy(F.col("dst").alias("place"), links["more"]).agg(F.min(F.col("depth") + 1).alias("depth"), F.min("path").alias("path"), F.sum("n_paths").cast("decimal(38,0)").alias("n_paths"))
-            return out.select("place", "depth", F.array_append("path", F.col("place")).alias("path"), "n_paths", "more")
-
-        per = self._levels(start, step).groupBy("place").agg(
-            F.min("depth").alias("depth"), F.max("depth").alias("max_depth"), F.sum("n_paths").cast("decimal(38,0)").alias("n_paths"), F.min_by("path", "depth").alias("path")
-        )
+        with shuffles_of(self.spark, self._partitions()):
+            ways, shortest = self._ways(), self._shortest()
         looped = self.groups.select("node", F.lit(True).alias("looped"))
-        return places.join(per, "place").join(looped, "node", "left").select(
+        return places.join(shortest.join(ways, "place"), "place").join(looped, "node", "left").select(
             "node", F.coalesce("looped", F.lit(False)).alias("in_cycle"), "depth", "max_depth", "n_paths", F.col("path")[0].alias("root"), "path"
         )
 
-    def _place_pairs(self) -> DataFrame:
-        """(above, below) of places, a place not below itself."""
+    def _reached(self, starts: DataFrame) -> DataFrame:
+        """(root, node) of all places that each root (root, node) reaches, itself included; every pair is met once."""
         _, links = self._condense()
-        start = links.select(F.col("src").alias("above"), F.col("dst").alias("below"), "more")
-
-        def step(level: DataFrame, held: DataFrame) -> DataFrame:
-            return level.join(held, level["below"] == held["src"]).select("above", F.col("dst").alias("below"), held["more"]).distinct()
-
-        return self._levels(start, step).select("above", "below").distinct()
+        with shuffles_of(self.spark, self._partitions()):
+            return search(links.select("src", "dst"), starts, ANY_DEPTH, None, False).df.select("root", "node")
 
     def below(self) -> DataFrame:
         """All pairs (node, below) where below can be reached from node over one or more links; itself, in a cycle."""
-        places, _ = self._condense()
-        pairs = self._place_pairs().union(self.groups.select("component", "component").distinct())
+        places, links = self._condense()
+        found = self._reached(links.select(F.col("src").alias("root"), F.col("src").alias("node")).distinct()).where(F.col("root") != F.col("node"))
+        pairs = found.select(F.col("root").alias("above"), F.col("node").alias("below")).union(self.groups.select("component", "component").distinct())
         a = places.select(F.col("place").alias("above"), "node")
         b = places.select(F.col("place").alias("below"), F.col("node").alias("below_node"))
         return pairs.join(a, "above").join(b, "below").select("node", F.col("below_node").alias("below"))
@@ -112,10 +137,5 @@ class Hierarchy:
     def roots(self) -> DataFrame:
         """All pairs (node, root): root is the place of a node that no other place leads to; a root is its own."""
         places, _ = self._condense()
-        top = self._roots()
-        start = top.select(F.col("place").alias("root"), "place", F.lit(True).alias("more"))
-
-        def step(level: DataFrame, held: DataFrame) -> DataFrame:
-            return level.join(held, level["place"] == held["src"]).select("root", F.col("dst").alias("place"), held["more"]).distinct()
-
-        return self._levels(start, step).select("root", "place").distinct().join(places, "place").select("node", "root")
+        found = self._reached(self._roots().select(F.col("place").alias("root"), F.col("place").alias("node")))
+        return found.select("root", F.col("node").alias("place")).join(places, "place").select("node", "root")

@@ -22,19 +22,26 @@ class SubgraphTooLarge(RuntimeError):
     """An operator refuses to start, or to go on enumerating: the graph it would visit is too large."""
 
 
+#: Deeper than any search gets, which ends with its last level.
+ANY_DEPTH = 2**31
+
+
 @dataclass(frozen=True)
 class Limits:
-    """Bounds that keep an operator from running away; each can be raised per call."""
+    """Bounds that keep an operator from running away; each can be raised per call. Beyond a bound an operator raises."""
 
-    max_depth: int = 50
+    #: Deepest search that may be asked for; None: any.
+    max_depth: int | None = None
     max_nodes: int = 10_000_000
-    max_results: int = 100_000
     max_paths: int = 5_000_000
-    #: Edges that may be sent to every worker by the sharded centralities.
+    #: Edges up to which betweenness sends them to every worker; more are joined.
     max_broadcast_edges: int = 2_000_000
 
-    def depth(self, asked: int) -> int:
-        return max(0, min(asked, self.max_depth))
+    def depth(self, asked: int | None) -> int:
+        """The depth to search to; None is any."""
+        if self.max_depth is not None and (asked is None or asked > self.max_depth):
+            raise SafetyLimitExceeded(f"depth {asked} asked for, limit {self.max_depth}")
+        return ANY_DEPTH if asked is None else max(0, asked)
 
 
 LIMITS = Limits()

@@ -5,6 +5,7 @@ from __future__ import annotations
 import heapq
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from functools import reduce
 from typing import Any
 
 import numpy as np
@@ -13,13 +14,16 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from relgraph.operators.components import connected_labels
-from relgraph.operators.model import LIMITS, Graph, Limits, SubgraphTooLarge, key_literal
+from relgraph.operators.model import ANY_DEPTH, LIMITS, Graph, Limits, key_literal
+from relgraph.operators.paths import distances
 from relgraph.operators.traverse import search
 from relgraph.sources.scratch import materialize
 
 CENTRALITIES = ("degree", "betweenness", "closeness", "pagerank")
 # Fixed values of PageRank.
 ALPHA, TOLERANCE, ITERATIONS = 0.85, 1e-6, 100
+#: Pairs of nodes that a block of searches may meet.
+PAIRS = 200_000_000
 #: PageRank iterations planned as one job.
 BLOCK = 4
 
@@ -35,14 +39,26 @@ def degree_centrality(links: DataFrame) -> DataFrame:
     return ends.select("node", (F.col("count") / F.lit(float(n - 1)) if n > 1 else F.lit(1.0)).alias("score"))
 
 
-def closeness_centrality(links: DataFrame, max_depth: int = 1_000) -> DataFrame:
-    """node, score over the ways into each node, in edges, scaled by the share of nodes that reach it; 0 if none does."""
+def closeness_centrality(links: DataFrame, roots: DataFrame | None = None) -> DataFrame:
+    """node, score over the ways into each node, in edges, scaled by the share of nodes that reach it; 0 if none does.
+
+    roots (a column node) may name the nodes whose score is wanted. The searches run in blocks of so many roots that a
+    block meets about PAIRS nodes, and of each only one row a root stays.
+    """
     held = materialize(links.select("src", "dst"))
-    nodes = _ends(held.df)
-    n = nodes.count()
+    nodes = materialize(_ends(held.df))
+    n = nodes.rows
     turned = held.df.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    found = search(turned, nodes.select(F.col("node").alias("root"), "node"), max_depth, None, False).df
-    per = found.groupBy(F.col("root").alias("node")).agg((F.count(F.lit(1)) - 1).alias("reached"), F.sum("depth").alias("far"))
+    wanted = nodes.df if roots is None else nodes.df.join(roots.select("node"), "node", "left_semi")
+    blocks = max(1, -(-n * n // PAIRS))
+    parts = []
+    for k in range(blocks):
+        mine = wanted.where(F.pmod(F.xxhash64("node"), F.lit(blocks)) == k) if blocks > 1 else wanted
+        found = search(turned, mine.select(F.col("node").alias("root"), "node"), ANY_DEPTH, None, False)
+        parts.append(materialize(found.df.groupBy(F.col("root").alias("node")).agg((F.count(F.lit(1)) - 1).alias("reached"), F.sum("depth").alias("far"))).df)
+        for x in found.tables:
+            x.drop()
+    per = reduce(DataFrame.unionAll, parts)
     score = F.when((F.col("far") > 0) & F.lit(n > 1), F.col("reached") / F.col("far") * F.col("reached") / F.lit(float(max(1, n - 1)))).otherwise(0.0)
     return per.select("node", score.alias("score"))
 
@@ -160,14 +176,14 @@ def _betweenness_local(links: DataFrame, weighted: bool) -> DataFrame:
     return names.join(sums, "place", "left").select("node", F.coalesce("raw", F.lit(0.0)).alias("raw"))
 
 
-def _betweenness_joins(links: DataFrame, max_depth: int = 10_000) -> DataFrame:
+def _betweenness_joins(links: DataFrame) -> DataFrame:
     """Unweighted betweenness by joins alone: counts of shortest ways outward level by level, then dependencies inward."""
     held = materialize(links.select("src", "dst"))
     nodes = _ends(held.df)
     level = materialize(nodes.select(F.col("node").alias("root"), "node", F.lit(1.0).alias("ways")))
     levels = [level]
     visited = level.df.select("root", "node")
-    while len(levels) <= max_depth:
+    while True:
         met = level.df.join(held.df, level.df["node"] == held.df["src"]).groupBy("root", F.col("dst").alias("node")).agg(F.sum("ways").alias("ways"))
         level = materialize(met.join(visited, ["root", "node"], "left_anti"))
         if level.rows == 0:
@@ -191,11 +207,47 @@ def _betweenness_joins(links: DataFrame, max_depth: int = 10_000) -> DataFrame:
     return nodes.join(sums, "node", "left").select("node", F.coalesce("raw", F.lit(0.0)).alias("raw"))
 
 
+def _betweenness_weighted_joins(links: DataFrame) -> DataFrame:
+    """Weighted betweenness by joins: distances, then walks over the edges that lie on cheapest ways, out and back.
+
+    Such edges form an acyclic graph for each root, so the numbers of walks of each length add up to the number of ways,
+    and likewise for the shares that go back.
+    """
+    if links.where("w <= 0").limit(1).count():
+        raise ValueError("weights must be greater than 0")
+    nodes = _ends(links)
+    near = materialize(distances(links, nodes.select(F.col("node").alias("root"), "node"), ANY_DEPTH, False)).df.select("root", "node", "dist")
+    a = near.select("root", F.col("node").alias("src"), F.col("dist").alias("d0"))
+    b = near.select("root", F.col("node").alias("dst"), F.col("dist").alias("d1"))
+    tight = materialize(links.join(a, "src").join(b, ["root", "dst"]).where(F.col("d0") + F.col("w") == F.col("d1")).select("root", "src", "dst")).df
+
+    def walked(level: DataFrame, step) -> DataFrame:
+        levels = [materialize(level)]
+        while levels[-1].rows:
+            levels.append(materialize(step(levels[-1].df)))
+        return materialize(reduce(DataFrame.unionAll, [x.df for x in levels]).groupBy("root", "node").agg(F.sum("v").alias("v"))).df
+
+    def out(level: DataFrame) -> DataFrame:
+        return level.join(tight, (level["root"] == tight["root"]) & (level["node"] == tight["src"])).groupBy(tight["root"], F.col("dst").alias("node")).agg(F.sum("v").alias("v"))
+
+    ways = walked(nodes.select(F.col("node").alias("root"), "node", F.lit(1.0).alias("v")), out)
+    shares = tight.join(ways.select("root", F.col("node").alias("src"), F.col("v").alias("x")), ["root", "src"]).join(ways.select("root", F.col("node").alias("dst"), F.col("v").alias("y")), ["root", "dst"])
+    shares = materialize(shares.select("root", "src", "dst", (F.col("x") / F.col("y")).alias("share"))).df
+
+    def back(level: DataFrame) -> DataFrame:
+        return level.join(shares, (level["root"] == shares["root"]) & (level["node"] == shares["dst"])).groupBy(shares["root"], F.col("src").alias("node")).agg(F.sum(F.col("v") * F.col("share")).alias("v"))
+
+    # What a node is owed: all that comes back over one edge and more.
+    owed = walked(shares.groupBy("root", F.col("src").alias("node")).agg(F.sum("share").alias("v")), back)
+    raw = owed.where(F.col("root") != F.col("node")).groupBy("node").agg(F.sum("v").alias("raw"))
+    return nodes.join(raw, "node", "left").select("node", F.coalesce("raw", F.lit(0.0)).alias("raw"))
+
+
 def betweenness_centrality(links: DataFrame, limits: Limits = LIMITS) -> DataFrame:
     """node, score: share of shortest ways through each node, directed, over (n - 1)(n - 2); 0 for up to two nodes.
 
     links: src, dst, and w for weighted ways. An edge table within limits.max_broadcast_edges is sent to the workers,
-    which share the sources; a larger one runs as joins, for edges without a weight only.
+    which share the sources; a larger one runs as joins. There, weights must be greater than 0.
     """
     held = materialize(links)
     weighted = "w" in links.columns
@@ -204,7 +256,7 @@ def betweenness_centrality(links: DataFrame, limits: Limits = LIMITS) -> DataFra
     if held.rows <= limits.max_broadcast_edges and not isinstance(held.df.schema["src"].dataType.jsonValue(), dict):
         raw = _betweenness_local(held.df, weighted)
     elif weighted:
-        raise SubgraphTooLarge(f"{held.rows:,} weighted edges, limit {limits.max_broadcast_edges:,}")
+        raw = _betweenness_weighted_joins(held.df)
     else:
         raw = _betweenness_joins(held.df)
     raw = materialize(raw)
@@ -250,7 +302,7 @@ def centrality(
 ) -> CentralityResult:
     """The top_n nodes by a centrality, ties by id, with their rows, and figures of the whole graph. closeness ignores weights."""
     g = Graph.of(spark, nodes, edges, edge_from_col, edge_to_col, weight=weight_col, id_cols=id_column, soft_delete=soft_delete_column, sql_filter=sql_filter)
-    top = scores_of(g, centrality_type, limits).orderBy(F.desc("score"), "node").limit(min(top_n, limits.max_results))
+    top = scores_of(g, centrality_type, limits).orderBy(F.desc("score"), "node").limit(top_n)
     return CentralityResult(g.node_rows(top).orderBy(F.desc("score"), "node"), graph_stats(g.simple_edges()))
 
 
@@ -340,48 +392,63 @@ def neighbors(spark: SparkSession, nodes: DataFrame | str, edges: DataFrame | st
 
 @dataclass
 class ResilienceResult:
-    """disconnected_pairs: a < b, former neighbours now apart; isolated_nodes: node; affected_nodes: node."""
+    """What falls apart when a node goes.
+
+    parts: node (a neighbour of the removed node), part (the smallest node of what it now hangs on to) and part_size (how
+    many neighbours that part has); two neighbours are cut off from each other if their parts differ. isolated_nodes and
+    affected_nodes: node. pairs_cut is the number of pairs of neighbours cut off from each other.
+    """
 
     node_removed: Any
     components_before: int
     components_after: int
     component_increase: int
-    disconnected_pairs: DataFrame
+    parts: DataFrame
+    pairs_cut: int
     isolated_nodes: DataFrame
     affected_nodes: DataFrame
     affected_node_count: int
     is_critical: bool
 
+    @property
+    def disconnected_pairs(self) -> DataFrame:
+        """(a, b), a < b, of all neighbours cut off from each other: as many rows as pairs_cut, written out part against part."""
+        x = self.parts.select(F.col("node").alias("a"), F.col("part").alias("pa"))
+        y = self.parts.select(F.col("node").alias("b"), F.col("part").alias("pb"))
+        kinds = self.parts.select("part").distinct()
+        apart = kinds.select(F.col("part").alias("pa")).join(kinds.select(F.col("part").alias("pb")), F.col("pa") != F.col("pb"))
+        return x.join(apart, "pa").join(y, "pb").where(F.col("a") < F.col("b")).select("a", "b")
+
 
 def resilience_analysis(spark: SparkSession, nodes: DataFrame | str | None, edges: DataFrame | str, edge_from_col, edge_to_col, node_to_remove: Any, id_column: str | Sequence[str] = "id", soft_delete_column: str | None = None, sql_filter: str | None = None) -> ResilienceResult:
-    """What falls apart when a node goes: components before and after, pairs of its neighbours cut off from each other,
-    neighbours left without any edge. The pairs are not computed until they are asked for; all else comes from the parts
-    the neighbours fall into. A node that no edge touches raises ValueError. Critical: components increase or a
-    node is left alone."""
+    """What falls apart when a node goes: components before and after, the parts its neighbours fall into, neighbours left
+    without any edge. A node that no edge touches raises ValueError. Critical: components increase or a node is left alone.
+
+    Components are labelled once, without the node. Those that hold a neighbour were one component with it; all others
+    are what they were.
+    """
     g = Graph.of(spark, nodes, edges, edge_from_col, edge_to_col, id_cols=id_column, soft_delete=soft_delete_column, sql_filter=sql_filter)
     links = materialize(g.simple_edges().select("src", "dst")).df
     me = g.typed_id(node_to_remove)
-    around = links.where((F.col("src") == me) | (F.col("dst") == me)).select(F.explode(F.array("src", "dst")).alias("node")).where(F.col("node") != me).distinct()
-    around = materialize(around)
-    if around.rows == 0 and links.where((F.col("src") == me) | (F.col("dst") == me)).limit(1).count() == 0:
+    touching = links.where((F.col("src") == me) | (F.col("dst") == me))
+    around = materialize(touching.select(F.explode(F.array("src", "dst")).alias("node")).where(F.col("node") != me).distinct())
+    if around.rows == 0 and touching.limit(1).count() == 0:
         raise ValueError(f"node {node_to_remove} is not in the graph")
-    before = connected_labels(links).select("component").distinct().count()
-    rest = links.where((F.col("src") != me) & (F.col("dst") != me))
-    others = _ends(links).where(F.col("node") != me)
-    labels = connected_labels(rest)
-    labels = materialize(others.join(labels, "node", "left").select("node", F.coalesce("component", "node").alias("component"), F.col("component").isNull().alias("alone")))
-    after = labels.df.select("component").distinct().count()
-    near = materialize(around.df.join(labels.df, "node").withColumn("hub", F.lit(1)))
-    parts = near.df.select("component").distinct().count()
-    x = near.df.select("hub", F.col("node").alias("a"), F.col("component").alias("ca"))
-    y = near.df.select("hub", F.col("node").alias("b"), F.col("component").alias("cb"))
-    split = after > before and parts > 1
-    pairs = x.join(y, "hub").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb"))).select("a", "b") if split else x.select("a", F.col("a").alias("b")).limit(0)
-    alone = near.df.where("alone").select("node")
-    # With two parts and more, every neighbour is apart from some other.
-    affected = near.df.select("node") if split else alone
-    lonely = alone.count()
-    return ResilienceResult(node_to_remove, before, after, after - before, pairs, alone, affected, near.rows if split else lonely, after > before or lonely > 0)
+    labels = materialize(connected_labels(links.where((F.col("src") != me) & (F.col("dst") != me))))
+    near = materialize(around.df.join(labels.df, "node", "left").select("node", F.coalesce("component", "node").alias("part"), F.col("component").isNull().alias("alone")))
+    sizes = near.df.groupBy("part").agg(F.count(F.lit(1)).alias("part_size"))
+    held = materialize(near.df.join(sizes, "part").select("node", "part", "part_size", "alone"), lonely=F.count_if("alone"), mates=F.sum("part_size"))
+    others = labels.df.select("component").distinct().count()
+    lonely, parts = int(held.seen["lonely"]), sizes.count()
+    after = others + lonely
+    before = after - parts + 1
+    alone = held.df.where("alone").select("node")
+    split = parts > 1
+    # With two parts and more, every neighbour is apart from some other. Of n * n ordered pairs, the sum of part sizes are in one part.
+    cut = (held.rows**2 - int(held.seen["mates"] or 0)) // 2
+    return ResilienceResult(
+        node_to_remove, before, after, after - before, held.df.select("node", "part", "part_size"), cut, alone, held.df.select("node") if split else alone, held.rows if split else lonely, after > before or lonely > 0
+    )
 
 
 __all__ = ["centrality", "connected_components", "graph_density", "neighbors", "resilience_analysis", "isolates", "key_literal", "pagerank", "scores_of", "components_of"]

@@ -11,77 +11,63 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from relgraph.operators.model import LIMITS, Graph, Limits, SubgraphTooLarge
-from relgraph.operators.traverse import SMALL_ROWS
 from relgraph.sources.scratch import materialize
 
 
-def distances(edges: DataFrame, starts: DataFrame, max_depth: int, paths: bool = True, within: float | None = None, small_rows: int = SMALL_ROWS) -> DataFrame:
+#: How much the bound of cost grows each time the k best paths are sought.
+GROWTH = 1.15
+#: Tables of bettered states that a round looks through before they are written together.
+STATE_TABLES = 6
+
+
+def distances(edges: DataFrame, starts: DataFrame, max_depth: int, paths: bool = True, within: float | None = None, target=None) -> DataFrame:
     """Least-cost walks of at most max_depth edges from every root: root, node, dist, hops (and path).
 
     edges: src, dst, w (not negative). starts: root, node. Ties go to fewer edges, then to the least path. Each round
-    relaxes the edges of the nodes that got nearer in the last one, until none does; ``within`` drops walks that cost more.
-    An edge table of at most SMALL_ROWS rows is relaxed on the driver instead, with the same result.
+    relaxes the edges of the nodes that got nearer in the last one and writes only the states that this betters, until
+    none does. ``within`` drops walks that cost more. With a ``target`` (a node as a column) walks that have cost as much
+    as the best one there is to it go no further, so the search ends early; then only the target's row is sure.
     """
-    if small_rows and (found := _distances_small(edges, starts, max_depth, paths, within, small_rows)) is not None:
-        return found
     if edges.where(F.col("w") < 0).limit(1).count():
         raise ValueError("weights must not be negative")
-    state_cols = ["dist", "hops", *(["path"] if paths else [])]
-    first = starts.select("root", "node", F.lit(0.0).alias("dist"), F.lit(0).alias("hops"), *([F.array("node").alias("path")] if paths else [])).distinct()
-    best = materialize(first.withColumn("fresh", F.lit(True)))
+    key, state_cols = ["root", "node"], ["dist", "hops", *(["path"] if paths else [])]
+    first = starts.select(*key, F.lit(0.0).alias("dist"), F.lit(0).alias("hops"), *([F.array("node").alias("path")] if paths else [])).distinct()
+    state = F.struct(*state_cols)
+    at_target = F.min(F.when(F.col("node") == target, F.col("dist"))) if target is not None else F.min(F.lit(None).cast("double"))
+    fresh = materialize(first, near=at_target)
+    better = [fresh]
+    bound = fresh.seen["near"]
+
+    def best(rows: DataFrame) -> DataFrame:
+        return rows.groupBy(*key).agg(F.min("s").alias("s"))
+
     for _ in range(max_depth):
-        front = best.df.where("fresh")
+        front = fresh.df if bound is None else fresh.df.where(F.col("dist") < bound)
         met = front.join(edges, front["node"] == edges["src"])
         offers = met.select(
             "root", F.col("dst").alias("node"), (F.col("dist") + F.col("w")).alias("dist"), (F.col("hops") + 1).alias("hops"),
-            *([F.array_append("path", F.col("dst")).alias("path")] if paths else []), F.lit(True).alias("fresh"),
+            *([F.array_append("path", F.col("dst")).alias("path")] if paths else []),
         )
-        if within is not None:
-            offers = offers.where(F.col("dist") <= within)
-        both = best.df.withColumn("fresh", F.lit(False)).unionByName(offers)
-        # Among equal states the old one wins, so nothing is fresh that has not changed.
-        pick = F.min(F.struct(*state_cols, F.col("fresh").cast("int").alias("f")))
-        nxt = both.groupBy("root", "node").agg(pick.alias("s")).select("root", "node", *[F.col(f"s.{c}").alias(c) for c in state_cols], (F.col("s.f") == 1).alias("fresh"))
-        nxt = materialize(nxt, fresh=F.count_if("fresh"))
-        best.drop()
-        best = nxt
-        if not nxt.seen["fresh"]:
-            break
-    return best.df.drop("fresh")
-
-
-def _distances_small(edges: DataFrame, starts: DataFrame, max_depth: int, paths: bool, within: float | None, most: int) -> DataFrame | None:
-    """distances() over a small edge table; None if the edges, the starts or the states are too many."""
-    rows = edges.select("src", "dst", F.col("w").cast("double").alias("w")).limit(most + 1).collect()
-    begin = starts.select("root", "node").distinct().limit(most + 1).collect()
-    if len(rows) > most or len(begin) > most:
-        return None
-    if any(r["w"] < 0 for r in rows):
-        raise ValueError("weights must not be negative")
-    ways: dict = {}
-    for r in rows:
-        ways.setdefault(r["src"], []).append((r["dst"], r["w"]))
-    best = {(r["root"], r["node"]): (0.0, 0, (r["node"],) if paths else ()) for r in begin}
-    fresh = list(best)
-    for _ in range(max_depth):
-        offers: dict = {}
-        for root, node in fresh:
-            dist, hops, path = best[root, node]
-            for dst, w in ways.get(node, ()):
-                if within is not None and dist + w > within:
-                    continue
-                state, key = (dist + w, hops + 1, (*path, dst) if paths else ()), (root, dst)
-                if (key not in best or state < best[key]) and (key not in offers or state < offers[key]):
-                    offers[key] = state
-        if not offers:
+        least = [x for x in (within, bound) if x is not None]
+        if least:
+            offers = offers.where(F.col("dist") <= min(least))
+        offers = best(offers.select(*key, state.alias("s")))
+        known = reduce(DataFrame.unionAll, [x.df for x in better]).select(*key, state.alias("was"))
+        had = known.join(offers.select(*key), key, "left_semi").groupBy(*key).agg(F.min("was").alias("was"))
+        news = offers.join(had, key, "left").where(F.col("was").isNull() | (F.col("s") < F.col("was"))).select(*key, "s.*")
+        fresh = materialize(news, near=at_target)
+        if not fresh.rows:
+            fresh.drop()
             break
-        best |= offers
-        if len(best) > most:
-            return None
-        fresh = list(offers)
-    kind = starts.select("root", "node", F.lit(0.0).alias("dist"), F.lit(0).alias("hops"), *([F.array("node").alias("path")] if paths else [])).schema
-    out = [(root, node, d, h, *([list(p)] if paths else [])) for (root, node), (d, h, p) in best.items()]
-    return edges.sparkSession.createDataFrame(out, kind)
+        if fresh.seen["near"] is not None:
+            bound = fresh.seen["near"] if bound is None else min(bound, fresh.seen["near"])
+        better.append(fresh)
+        if len(better) > STATE_TABLES:
+            merged = materialize(best(reduce(DataFrame.unionAll, [x.df for x in better]).select(*key, state.alias("s"))).select(*key, "s.*"))
+            for x in better[:-1]:
+                x.drop()
+            better = [merged]
+    return best(reduce(DataFrame.unionAll, [x.df for x in better]).select(*key, state.alias("s"))).select(*key, "s.*")
 
 
 @dataclass
@@ -110,7 +96,7 @@ def _graph(spark, nodes, edges, edge_from_col, edge_to_col, weight_col, id_colum
     )
 
 
-def path_distances(g: Graph, start_id: Any, max_depth: int = 20, limits: Limits = LIMITS) -> DataFrame:
+def path_distances(g: Graph, start_id: Any, max_depth: int | None = 20, limits: Limits = LIMITS) -> DataFrame:
     """node, dist, hops, path from one node to every node it reaches; without a weight every edge costs 1."""
     links = materialize(_weighted(g)).df
     start = g.spark.range(1).select(g.typed_id(start_id).alias("root"), g.typed_id(start_id).alias("node"))
@@ -118,7 +104,7 @@ def path_distances(g: Graph, start_id: Any, max_depth: int = 20, limits: Limits
 
 
 def shortest_path(
-    spark: SparkSession, nodes: DataFrame | str | None, edges: DataFrame | str, edge_from_col, edge_to_col, start_id: Any, end_id: Any, weight_col: str | None = None, max_depth: int = 20,
+    spark: SparkSession, nodes: DataFrame | str | None, edges: DataFrame | str, edge_from_col, edge_to_col, start_id: Any, end_id: Any, weight_col: str | None = None, max_depth: int | None = 20,
     id_column: str | Sequence[str] = "id", excluded_nodes: Sequence | None = None, soft_delete_column: str | None = None, sql_filter: str | None = None, limits: Limits = LIMITS,
 ) -> PathResult:
     """The cheapest path of at most max_depth edges; fewest edges without a weight. start = end costs 0.
@@ -130,20 +116,26 @@ def shortest_path(
     barred = tuple(excluded_nodes or ())
     if start_id in barred or end_id in barred:
         return PathResult(None, None, None, None, None, barred, "an end of the path is excluded")
-    found = path_distances(g, start_id, max_depth, limits).where(F.col("node") == g.typed_id(end_id)).first()
+    links = materialize(_weighted(g)).df
+    begin, end = g.typed_id(start_id), g.typed_id(end_id)
+    start = spark.range(1).select(begin.alias("root"), begin.alias("node"))
+    found = distances(links, start, limits.depth(max_depth), target=end).where(F.col("node") == end).first()
     if found is None:
         return PathResult(None, None, None, None, None, barred, f"no path within {max_depth} edges")
     path = list(found["path"])
     steps = spark.range(1).select(F.posexplode(F.array(*[g.typed_id(tuple(x) if isinstance(x, tuple) else x) for x in path])).alias("position", "node"))
     rows = g.node_rows(steps).orderBy("position") if nodes is not None else steps
     pairs = steps.select(F.col("position"), F.col("node").alias("to_id")).join(steps.select((F.col("position") + 1).alias("position"), F.col("node").alias("from_id")), "position")
-    links = _weighted(g)
     on_path = pairs.join(links, (pairs["from_id"] == links["src"]) & (pairs["to_id"] == links["dst"])).select("position", "from_id", "to_id", F.col("w").alias("weight")).orderBy("position")
     return PathResult(path, float(found["dist"]), len(path) - 1, rows, on_path, barred)
 
 
-def tied_paths(g: Graph, start_id: Any, end_id: Any, max_paths: int | None = 10, max_depth: int = 20, limits: Limits = LIMITS) -> DataFrame:
-    """All cheapest paths: path, dist, hops, the first max_paths in order of path. Steps of weight 0 are taken once."""
+def _first(rows: DataFrame, most: int | None) -> DataFrame:
+    return rows if most is None else rows.limit(most)
+
+
+def tied_paths(g: Graph, start_id: Any, end_id: Any, max_paths: int | None = 10, max_depth: int | None = 20, limits: Limits = LIMITS) -> DataFrame:
+    """All cheapest paths: path, dist, hops, the first max_paths in order of path (None: all). Steps of weight 0 are taken once."""
     links = materialize(_weighted(g)).df
     depth = limits.depth(max_depth)
     start = g.spark.range(1).select(g.typed_id(start_id).alias("root"), g.typed_id(start_id).alias("node"))
@@ -158,11 +150,11 @@ def tied_paths(g: Graph, start_id: Any, end_id: Any, max_paths: int | None = 10,
     tight = (
         links.join(ahead.withColumnsRenamed({"node": "src"}), "src").join(behind.withColumnsRenamed({"node": "dst"}), "dst").where(F.col("d0") + F.col("w") + F.col("d1") <= slack).select("src", "dst", "w")
     )
-    return simple_paths(materialize(tight).df, start.select("node"), g.typed_id(end_id), depth, limits).orderBy("path").limit(max_paths or limits.max_results)
+    return _first(simple_paths(materialize(tight).df, start.select("node"), g.typed_id(end_id), depth, limits).orderBy("path"), max_paths)
 
 
 def all_shortest_paths(
-    spark: SparkSession, nodes: DataFrame | str | None, edges: DataFrame | str, edge_from_col, edge_to_col, start_id: Any, end_id: Any, weight_col: str | None = None, max_depth: int = 20, max_paths: int = 10,
+    spark: SparkSession, nodes: DataFrame | str | None, edges: DataFrame | str, edge_from_col, edge_to_col, start_id: Any, end_id: Any, weight_col: str | None = None, max_depth: int | None = 20, max_paths: int = 10,
     id_column: str | Sequence[str] = "id", excluded_nodes: Sequence | None = None, soft_delete_column: str | None = None, sql_filter: str | None = None,
 ) -> DataFrame:
     """path, dist, hops of every cheapest path, at most max_paths, the least first; no rows if there is no path."""
@@ -173,38 +165,63 @@ def all_shortest_paths(
 def simple_paths(links: DataFrame, start: DataFrame, end, max_depth: int, limits: Limits = LIMITS, within: float | None = None) -> DataFrame:
     """Every simple path from start (a column node) to the node ``end`` over links (src, dst, w): path, dist, hops.
 
-    Only nodes that can still reach the end in the edges left are entered; ``within`` drops paths that cost more.
+    Only nodes are entered that can still reach the end in the edges left, and, where ``within`` bounds the cost, at the
+    cost left. So what is enumerated is little more than what comes out.
     """
-    turned = links.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.lit(1.0).alias("w"))
+    turned = links.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w")
     goal = start.limit(1).select(end.alias("root"), end.alias("node"))
-    left = distances(turned, goal, max_depth, False).select(F.col("node").alias("dst"), F.col("hops").alias("still"))
-    links = materialize(links.join(left, "dst").select("src", "dst", "w", "still")).df
+    steps = distances(turned.withColumn("w", F.lit(1.0)), goal, max_depth, False).select(F.col("node").alias("dst"), F.col("hops").alias("still"))
+    ways = links.join(steps, "dst")
+    if within is not None:
+        cost = distances(turned, goal, max_depth, False, within).select(F.col("node").alias("dst"), F.col("dist").alias("owed"))
+        ways = ways.join(cost, "dst")
+    else:
+        ways = ways.withColumn("owed", F.lit(0.0))
+    ways = materialize(ways.select("src", "dst", "w", "still", "owed")).df
     level = materialize(start.select("node", F.array("node").alias("path"), F.lit(0.0).alias("dist"), F.lit(0).alias("hops")))
     done = [level.df.where(F.col("node") == end)]
     total = 0
     for hop in range(1, max_depth + 1):
         open_ = level.df.where(F.col("node") != end)
-        met = open_.join(links, (open_["node"] == links["src"]) & (links["still"] <= max_depth - hop)).where(~F.array_contains("path", F.col("dst")))
-        step = met.select(F.col("dst").alias("node"), F.array_append("path", F.col("dst")).alias("path"), (F.col("dist") + F.col("w")).alias("dist"), F.lit(hop).alias("hops"))
+        met = open_.join(ways, (open_["node"] == ways["src"]) & (ways["still"] <= max_depth - hop)).where(~F.array_contains("path", F.col("dst")))
         if within is not None:
-            step = step.where(F.col("dist") <= within)
-        level = materialize(step)
+            # A little slack, as sums from either end may round apart; the paths themselves are held to the bound.
+            met = met.where(F.col("dist") + F.col("w") + F.col("owed") <= within + 1e-9 * abs(within))
+        level = materialize(met.select(F.col("dst").alias("node"), F.array_append("path", F.col("dst")).alias("path"), (F.col("dist") + F.col("w")).alias("dist"), F.lit(hop).alias("hops")))
         total += level.rows
         if level.rows == 0:
             break
         if total > limits.max_paths:
             raise SubgraphTooLarge(f"{total:,} simple paths, limit {limits.max_paths:,}; lower max_depth or the cost bound")
         done.append(level.df.where(F.col("node") == end))
-    return reduce(DataFrame.unionAll, done).select("path", "dist", "hops")
+    found = reduce(DataFrame.unionAll, done).select("path", "dist", "hops")
+    return found if within is None else found.where(F.col("dist") <= within)
 
 
-def paths_within(g: Graph, start_id: Any, end_id: Any, max_cost: float | None = None, max_depth: int = 10, limits: Limits = LIMITS) -> DataFrame:
+def paths_within(g: Graph, start_id: Any, end_id: Any, max_cost: float | None = None, max_depth: int | None = 10, limits: Limits = LIMITS) -> DataFrame:
     """Every simple path of at most max_depth edges and max_cost: path, dist, hops."""
     links = materialize(_weighted(g)).df
     start = g.spark.range(1).select(g.typed_id(start_id).alias("node"))
     return simple_paths(links, start, g.typed_id(end_id), limits.depth(max_depth), limits, max_cost)
 
 
-def best_paths(g: Graph, start_id: Any, end_id: Any, k: int = 3, max_depth: int = 10, limits: Limits = LIMITS) -> DataFrame:
-    """The k cheapest simple paths of at most max_depth edges: path, dist, hops, in order of (dist, hops, path)."""
-    return paths_within(g, start_id, end_id, None, max_depth, limits).orderBy("dist", "hops", "path").limit(k)
+def best_paths(g: Graph, start_id: Any, end_id: Any, k: int = 3, max_depth: int | None = 10, limits: Limits = LIMITS) -> DataFrame:
+    """The k cheapest simple paths of at most max_depth edges: path, dist, hops, in order of (dist, hops, path).
+
+    Paths are enumerated up to a bound of cost, which grows from the cheapest path's until k paths are within it or
+    none is beyond it.
+    """
+    links = materialize(_weighted(g)).df
+    depth = limits.depth(max_depth)
+    begin, end = g.typed_id(start_id), g.typed_id(end_id)
+    start = g.spark.range(1).select(begin.alias("root"), begin.alias("node"))
+    best = distances(links, start, depth, False, target=end).where(F.col("node") == end).first()
+    total = links.agg(F.sum("w")).first()[0] or 0.0  # no simple path costs more
+    bound = best["dist"] if best else 0.0
+    least = links.where("w > 0").agg(F.min("w")).first()[0] or 1.0
+    while True:
+        found = materialize(simple_paths(links, start.select("node"), end, depth, limits, bound))
+        if best is None or found.rows >= k or bound >= total:
+            return found.df.orderBy("dist", "hops", "path").limit(k)
+        found.drop()
+        bound = min(total, max(bound * GROWTH, bound + least))

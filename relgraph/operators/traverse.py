@@ -29,38 +29,24 @@ class Levels:
     tables: list[Scratch] = field(default_factory=list)
 
 
-#: A search whose visited rows and edges per level stay within this bound keeps its frontier on the driver.
-SMALL_ROWS = 20_000
 #: Level tables that the test for visited nodes reads before they are written together.
 VISITED_TABLES = 6
 
 
-def search(edges: DataFrame, starts: DataFrame, max_depth: int, terminal: DataFrame | None = None, paths: bool = True, check=None, small_rows: int = SMALL_ROWS) -> Levels:
+def search(edges: DataFrame, starts: DataFrame, max_depth: int, terminal: DataFrame | None = None, paths: bool = True, check=None) -> Levels:
     """Breadth-first search from every root at once, over edges (src, dst).
 
     starts: root, node. Each node comes out once per root, at its least depth, with the least of its shortest paths
     (arrays compare element by element). Nodes in ``terminal`` (column node) are reached but not left. ``check`` sees the
     sizes and edges so far after each level and may raise.
 
-    One job per level. While no more than small_rows rows are visited and no level has more edges, the frontier lies on
-    the driver and a level is one scan of the edges without a shuffle. From the level that exceeds the bound on, levels
-    are joined and written to the shared folder, so lineage stays short and lost executors cost one level.
+    One job per level, which joins the new nodes with the edges; Spark broadcasts them while they are few. Levels are
+    written to the shared folder, so lineage stays short and lost executors cost one level.
     """
     first = starts.select("root", "node", F.lit(0).alias("depth"), *([F.array("node").alias("path")] if paths else [])).distinct()
-    kinds = {first.schema[c].dataType.typeName() for c in ("root", "node")} | {edges.schema[c].dataType.typeName() for c in ("src", "dst")}
-    done: _Small | None = None
-    if small_rows and kinds <= {"long", "integer", "short", "string"}:
-        done = _search_small(edges, first, max_depth, terminal, paths, check, small_rows)
-        if done is not None and done.ended:
-            rows = materialize(edges.sparkSession.createDataFrame([r for level in done.levels for r in level], first.schema))
-            return Levels(rows.df, [len(x) for x in done.levels], done.edges_seen, done.expansions, [rows])
-    if done is None:
-        levels, seen_edges, expansions = [materialize(first)], 0, 0
-    else:
-        levels = [materialize(edges.sparkSession.createDataFrame(level, first.schema)) for level in done.levels]
-        seen_edges, expansions = done.edges_seen, done.expansions
+    levels, seen_edges, expansions = [materialize(first)], 0, 0
     visited = [x.df.select("root", "node") for x in levels]
-    for depth in range(expansions + 1, max_depth + 1):
+    for depth in range(1, max_depth + 1):
         front = levels[-1].df
         if terminal is not None:
             front = front.join(terminal.select("node"), "node", "left_anti")
@@ -87,73 +73,6 @@ def search(edges: DataFrame, starts: DataFrame, max_depth: int, terminal: DataFr
     return Levels(df, [x.rows for x in levels], seen_edges, expansions, levels)
 
 
-@dataclass
-class _Small:
-    """Levels of rows (root, node, depth, path) that a small search has found; ended if there is nothing beyond."""
-
-    levels: list[list[tuple]]
-    edges_seen: int
-    expansions: int
-    ended: bool
-
-
-def _search_small(edges: DataFrame, first: DataFrame, max_depth: int, terminal: DataFrame | None, paths: bool, check, most: int) -> _Small | None:
-    """The levels of search() as long as they are small; None if the starts are not."""
-    start = first.limit(most + 1).collect()
-    if len(start) > most:
-        return None
-    ext = edges.select("src", "dst")
-    stopped: set = set()
-    if terminal is not None:
-        stops = terminal.select(F.col("node")).distinct()
-        own = first.sparkSession.createDataFrame([(x,) for x in {r["node"] for r in start}], first.select("node").schema) if start else first.select("node")
-        stopped = {r["node"] for r in own.join(stops, "node", "left_semi").collect()}
-        ext = ext.join(stops.select(F.col("node").alias("dst"), F.lit(True).alias("stop")), "dst", "left").select("src", "dst", "stop")
-    else:
-        ext = ext.withColumn("stop", F.lit(None).cast("boolean"))
-    ext = ext.persist()  # recomputed from its source where an executor is lost
-    out = _Small([[tuple(r) for r in start]], 0, 0, False)
-    seen = {(r["root"], r["node"]) for r in start}
-    try:
-        for depth in range(1, max_depth + 1):
-            front: dict = {}
-            for row in out.levels[-1]:
-                if row[1] not in stopped:
-                    front.setdefault(row[1], []).append(row)
-            found = []
-            if front:
-                ids = first.sparkSession.createDataFrame([(x,) for x in front], first.select(F.col("node").alias("src")).schema)
-                found = ext.join(F.broadcast(ids), "src").select("src", "dst", "stop").limit(most + 1).collect()  # the frontier has at most ``most`` ids
-            if len(found) > most:
-                return out
-            new: dict = {}
-            edges_seen = 0
-            for e in found:
-                if e["stop"]:
-                    stopped.add(e["dst"])
-                for row in front[e["src"]]:
-                    edges_seen += 1
-                    key = (row[0], e["dst"])
-                    if key not in seen:
-                        path = (*row[3], e["dst"]) if paths else ()
-                        if key not in new or path < new[key]:
-                            new[key] = path
-            if len(seen) + len(new) > most or edges_seen > 10 * most:
-                return out
-            out.edges_seen += edges_seen
-            out.expansions = depth
-            if not new:
-                break
-            seen |= set(new)
-            out.levels.append([(root, node, depth, list(path)) if paths else (root, node, depth) for (root, node), path in new.items()])
-            if check:
-                check([len(x) for x in out.levels], out.edges_seen)
-        out.ended = True
-        return out
-    finally:
-        ext.unpersist()
-
-
 @dataclass
 class TraverseResult:
     """nodes: node, depth and the node table's columns; paths: node, depth, path; edges: from_id, to_id of the search tree;
@@ -177,7 +96,7 @@ def traverse(
     edge_to_col: str | Sequence[str],
     start_id: Any,
     direction: str = "outbound",
-    max_depth: int = 10,
+    max_depth: int | None = 10,
     stop_condition: str | None = None,
     collect_columns: Sequence[str] | None = None,
     prefilter_sql: str | None = None,
@@ -199,7 +118,7 @@ def traverse(
     Nodes that meet stop_condition (SQL over the node table; the start too) are reached but not left. prefilter_sql and
     sql_filter both restrict the edges (SQL over the edge table, alias e). Ties between shortest paths go to the least
     path. A start that no edge leaves gives just itself; a start that is missing from the node table has a path but no
-    node row. include_start=False leaves the start out of nodes and paths. max_depth is clamped to the limits, 0 and less
+    node row. include_start=False leaves the start out of nodes and paths. max_depth None goes to the end, 0 and less
     visits the start only. Raises SubgraphTooLarge when the estimate after a few levels exceeds max_nodes, and
     SafetyLimitExceeded when the visited nodes do.
     """
@@ -212,7 +131,7 @@ def traverse(
 
 
 def traverse_graph(
-    g: Graph, start_id: Any, direction: str = "outbound", max_depth: int = 10, stop_condition: str | None = None, collect_columns: Sequence[str] | None = None,
+    g: Graph, start_id: Any, direction: str = "outbound", max_depth: int | None = 10, stop_condition: str | None = None, collect_columns: Sequence[str] | None = None,
     include_start: bool = True, max_nodes: int | None = None, skip_estimation: bool = False, estimation_config: EstimationConfig | None = None,
     order_by: str | None = None, limits: Limits = LIMITS,
 ) -> TraverseResult:
@@ -268,7 +187,7 @@ def traverse_collecting(spark: SparkSession, nodes: DataFrame | str, edges: Data
     return result
 
 
-def multi_source(g: Graph, starts: DataFrame, direction: str = "outbound", max_depth: int = 50, paths: bool = False, limits: Limits = LIMITS) -> DataFrame:
+def multi_source(g: Graph, starts: DataFrame, direction: str = "outbound", max_depth: int | None = None, paths: bool = False, limits: Limits = LIMITS) -> DataFrame:
     """Breadth-first search from many roots at once: root, node, depth (and path). starts: a column root."""
     links = materialize(g.simple_edges(direction).select("src", "dst")).df
     return search(links, starts.select("root", F.col("root").alias("node")), limits.depth(max_depth), None, paths).df
@@ -284,12 +203,12 @@ def fetch_edges_for_frontier(
         spark, nodes, edges, edge_from_col, edge_to_col, id_cols=id_column, soft_delete=soft_delete_column,
         start_col=temporal_start_col, end_col=temporal_end_col, at=valid_at, sql_filter=sql_filter, weight=weight_col,
     )
-    rows = g.edge_rows().withColumn("__row", F.monotonically_increasing_id()) if direction == "both" else g.edge_rows()
+    rows = g.edge_rows()
     ids = frontier.select("node").distinct()
     ends = {"outbound": ["src"], "inbound": ["dst"], "both": ["src", "dst"]}[direction]
     hits = [rows.join(ids.withColumnRenamed("node", e), e, "left_semi").select(*rows.columns) for e in ends]
     found = hits[0] if len(hits) == 1 else hits[0].union(hits[1].join(ids.withColumnRenamed("node", "src"), "src", "left_anti").select(*rows.columns))
-    return found.drop("__row").withColumnsRenamed({"src": "from_id", "dst": "to_id"})
+    return found.withColumnsRenamed({"src": "from_id", "dst": "to_id"})
 
 
 def fetch_nodes(spark: SparkSession, nodes: DataFrame | str, ids: DataFrame, columns: Sequence[str] | None = None, id_column: str | Sequence[str] = "id", soft_delete_column: str | None = None, order_by: str | None = None) -> DataFrame:

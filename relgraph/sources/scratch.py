@@ -10,6 +10,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -78,6 +80,17 @@ def materialize(df: DataFrame, **observed: Column) -> Scratch:
     return Scratch(spark, back, path, got)
 
 
+@contextmanager
+def shuffles_of(spark: SparkSession, partitions: int) -> Iterator[None]:
+    """Shuffles planned inside have so many partitions, for loops whose tables are held in as many."""
+    was = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
+    try:
+        yield
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """df.checkpoint() in the shared folder: unlike materialize, partitions and row order stay as they are."""
     scratch_root(df.sparkSession)
