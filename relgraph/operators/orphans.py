@@ -2,55 +2,59 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from relgraph.operators.skew import hot_key_join
 from relgraph.sources.scratch import materialize
 
-#: Size of the Bloom filter in bits: 2**26 bits are 8 MB, whatever the number of parent keys. More keys than it serves
-#: well only send more references to the exact join.
-BLOOM_BITS_MOST = 2**26
-BLOOM_BITS_LEAST = 2**16
-BLOOM_HASHES = 4
-_PAGE = 32768  # bits of one row of the bitmap functions
+#: Bits of the Bloom filter for each parent key, and how many of them a key sets, all in one page.
+BITS_A_KEY, HASHES = 12, 4
+#: Bits of a page, as numbers of 64 bits; a page is a row of the broadcast filter.
+PAGE_BITS = 32_768
+#: A filter of more bits than this (64 MB) is not broadcast: then every reference goes to the exact join.
+MOST_BITS = 2**29
 
 
-def _positions(key: Column, bits: int) -> list[Column]:
-    """Bit positions of a key by double hashing."""
-    low = F.lit(2**40 - 1)
+def _page(key: Column, pages: int) -> Column:
+    return F.pmod(F.xxhash64(key, F.lit(2)), F.lit(pages))
+
+
+def _positions(key: Column) -> list[Column]:
+    """Bits of a key within its page, by double hashing."""
+    low = F.lit(2**31 - 1)
     h1, h2 = F.xxhash64(key).bitwiseAND(low), F.xxhash64(key, F.lit(1)).bitwiseAND(low)
-    return [(h1 + F.lit(i) * h2) % F.lit(bits) for i in range(BLOOM_HASHES)]
+    return [F.pmod(h1 + F.lit(i) * h2, F.lit(PAGE_BITS)) for i in range(HASHES)]
 
 
-def bloom_filter(keys: DataFrame, key: str, expected: int) -> np.ndarray:
-    """Bits, as bytes, of a Bloom filter over a column; built by partial aggregation, at most BLOOM_BITS_MOST bits."""
-    bits = min(BLOOM_BITS_MOST, max(BLOOM_BITS_LEAST, 1 << int(np.ceil(np.log2(max(1, expected) * 12)))))
-    pos = keys.where(F.col(key).isNotNull()).select(F.explode(F.array(*_positions(F.col(key).cast("long"), bits))).alias("p"))
-    pages = pos.groupBy(F.floor(F.col("p") / _PAGE).alias("page")).agg(F.bitmap_construct_agg(F.col("p") % _PAGE).alias("bitmap"))
-    out = np.zeros(bits // 8, dtype=np.uint8)
-    for r in pages.collect():  # at most BLOOM_BITS_MOST / _PAGE rows, 8 MB together
-        at = r["page"] * (_PAGE // 8)
-        out[at : at + _PAGE // 8] = np.frombuffer(r["bitmap"], dtype=np.uint8)
-    return out
+def bloom_pages(expected: int) -> int:
+    """Pages of a filter for so many keys; 0 if it would be too large to broadcast."""
+    pages = max(1, -(-expected * BITS_A_KEY // PAGE_BITS))
+    return pages if pages * PAGE_BITS <= MOST_BITS else 0
 
 
-def may_contain(df: DataFrame, key: Column, bloom: np.ndarray) -> Column:
-    """Whether the filter may hold a key: false is proof of absence. Null keys give true, to be judged elsewhere."""
-    shared = df.sparkSession.sparkContext.broadcast(bloom)
-    bits = len(bloom) * 8
+def bloom_filter(keys: DataFrame, key: str, pages: int) -> DataFrame:
+    """The filter over a column as (page, bits), bits being PAGE_BITS in numbers of 64; pages without a key are left out."""
+    k = F.col(key).cast("long")
+    set_ = keys.where(F.col(key).isNotNull()).select(_page(k, pages).alias("page"), F.explode(F.array(*_positions(k))).alias("at"))
+    words = set_.groupBy("page", F.floor(F.col("at") / 64).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 64 as int))")).alias("v"))
+    held = words.groupBy("page").agg(F.map_from_entries(F.collect_list(F.struct("word", "v"))).alias("m"))  # PAGE_BITS / 64 entries at most
+    zero = F.lit(0).cast("long")
+    return held.select("page", F.transform(F.sequence(F.lit(0), F.lit(PAGE_BITS // 64 - 1)), lambda i: F.coalesce(F.try_element_at("m", i), zero)).alias("bits"))
 
-    def probe(*pos: pd.Series) -> pd.Series:
-        hit = np.ones(len(pos[0]), dtype=bool)
-        for p in pos:
-            at = p.to_numpy(np.int64)
-            hit &= (shared.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
-        return pd.Series(hit)
 
-    udf = F.pandas_udf(probe, "boolean")
-    return udf(*_positions(key.cast("long"), bits))
+def may_contain(df: DataFrame, key: Column, bloom: DataFrame, pages: int) -> DataFrame:
+    """df with a column ``maybe``: whether the filter may hold the key. False is proof of absence.
+
+    The pages are broadcast and looked up by hash; the bits are tested in generated code. Null keys give true, to be
+    judged elsewhere.
+    """
+    k = key.cast("long")
+    hit = F.lit(True)
+    for at in _positions(k):
+        hit = hit & (F.getbit(F.get("bits", F.floor(at / 64).cast("int")), F.pmod(at, F.lit(64)).cast("int")) == 1)
+    named = bloom.select(F.col("page").alias("__page"), "bits")
+    return df.withColumn("__page", _page(k, pages)).join(F.broadcast(named), "__page", "left").withColumn("maybe", k.isNull() | F.coalesce(hit, F.lit(False))).drop("__page", "bits")
 
 
 def valid_versions(parents: DataFrame, key: str, version: str, deleted: str, created: str) -> DataFrame:
@@ -77,14 +81,19 @@ def orphan_references(refs: DataFrame, parents: DataFrame) -> DataFrame:
     time is null). Null references are no references. Repeated rows come out as often as they are stored.
     Without parents every reference is missing.
 
-    A Bloom filter of the parent keys, of bounded size, is broadcast; what it denies is missing for certain. Only what it
-    lets pass is joined, and there a key that holds a large share of the references is joined where its rows lie.
+    A Bloom filter of the parent keys, sized by their number, is broadcast while it has at most MOST_BITS; what it denies
+    is missing for certain. Only what it lets pass is joined, and there a key that holds a large share of the references
+    is joined where its rows lie.
     """
     refs = refs.where(F.col("ref").isNotNull())
     held = materialize(parents)
     parents = held.df
-    bloom = bloom_filter(parents, "key", held.rows)
-    probed = refs.withColumn("maybe", may_contain(refs, F.col("ref"), bloom))
+    pages = bloom_pages(held.rows)
+    if pages:
+        bloom = materialize(bloom_filter(parents, "key", pages)).df
+        probed = may_contain(refs, F.col("ref"), bloom, pages)
+    else:
+        probed = refs.withColumn("maybe", F.lit(True))
     sure = probed.where(~F.col("maybe")).withColumn("reason", F.lit("missing")).drop("maybe")
     known = parents.select(F.col("key").alias("ref"), "deleted", "born", F.lit(True).alias("found"))
     checked = hot_key_join(probed.where(F.col("maybe")).drop("maybe"), known, "ref", "left", counted=refs).withColumn(

@@ -147,6 +147,24 @@ def _running(batches: Iterator[pd.DataFrame], carried: dict) -> Iterator[pd.Data
         yield pd.DataFrame({"key": key, "tie": pdf["tie"].to_numpy(), "seq": seq, "running_total": tot})
 
 
+def _partition_ends(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """One row a partition: its first and last key, and rows and sum of the last key in it."""
+    pid = first = key = None
+    n, t = 0, 0.0
+    for pdf in batches:
+        starts = _runs(pdf["key"])
+        if len(starts) == 0:
+            continue
+        keys, val = pdf["key"].to_numpy(), pdf["val"].to_numpy(np.float64)
+        if first is None:
+            pid, first = pdf[PID].iloc[0], keys[0]
+        if len(starts) > 1 or keys[0] != key:
+            n, t = 0, 0.0
+        key, n, t = keys[-1], n + len(pdf) - int(starts[-1]), t + float(val[starts[-1] :].sum())
+    if first is not None:
+        yield pd.DataFrame({PID: [pid], "first": [first], "key": [key], "n": [n], "t": [t]})
+
+
 def running_by_key(df: DataFrame, key: str, order: str, tie: str, value: str) -> DataFrame:
     """Position and running sum of every row within its key, heavy keys split over partitions.
 
@@ -158,8 +176,7 @@ def running_by_key(df: DataFrame, key: str, order: str, tie: str, value: str) ->
         F.col(key).alias("key"), F.col(order).alias("at"), F.col(tie).cast("long").alias("tie"), F.coalesce(F.col(value).cast("double"), F.lit(0.0)).alias("val")
     )
     rows = checkpointed(range_sorted(rows, "key", "at", "tie").drop("at"))
-    last = rows.groupBy(PID).agg(F.max("key").alias("key"), F.min("key").alias("first"))
-    ends = last.join(rows, [PID, "key"]).groupBy(PID, "key", "first").agg(F.count(F.lit(1)).alias("n"), F.sum("val").alias("t"))
+    ends = rows.mapInPandas(_partition_ends, f"{PID} int, first {rows.schema['key'].dataType.simpleString()}, key {rows.schema['key'].dataType.simpleString()}, n long, t double")
     carried, state = {}, (None, 0, 0.0)
     for r in sorted(ends.collect(), key=lambda r: r[PID]):  # one row per partition
         carried[r[PID]] = state
@@ -171,7 +188,7 @@ def running_by_key(df: DataFrame, key: str, order: str, tie: str, value: str) ->
     )
 
 
-def hot_key_join(left: DataFrame, right: DataFrame, key: str, how: str = "left", share: float = 0.001, floor: int = 100_000, counted: DataFrame | None = None) -> DataFrame:
+def hot_key_join(left: DataFrame, right: DataFrame, key: str, how: str = "left", share: float = 0.001, floor: int = 20_000, counted: DataFrame | None = None) -> DataFrame:
     """Equi-join of a skewed left side with a right side that is unique on ``key``.
 
     Keys with more than max(floor, share of the left rows) rows are hot: there are at most 1/share of them, so their
