@@ -14,13 +14,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from relgraph.llm.boosting import BoostedTrees
+from relgraph.sources.scratch import materialize
 
 LEVELS = (1, 2, 3, 4, 5)
 #: The model is fitted on at most so many rated documents, chosen by a hash of their id; ratings beyond are not used.
 MOST_RATED = 8000
 FOLDS = 5
-#: Words of the learned vocabulary: in at least so many rated documents, at most so many words.
-LEAST_DOCS, MOST_WORDS = 3, 50_000
+#: Words of the learned vocabulary stand in at least so many rated documents.
+LEAST_DOCS = 3
 #: Words of a window over which a text's local difficulty is taken.
 WINDOW = 20
 
@@ -117,19 +118,53 @@ def features(text: str, lexicon: dict[str, float], middle: float) -> list[float]
     ]
 
 
-def learned_lexicon(token_sets: list[set[str]], target: np.ndarray, weight: np.ndarray) -> dict[str, float]:
-    """Word -> mean level of the rated documents that use it, drawn towards the overall mean where they are few."""
-    middle = float(np.average(target, weights=weight))
-    total: dict[str, float] = {}
-    seen: Counter = Counter()
-    mass: dict[str, float] = {}
-    for s, y, w in zip(token_sets, target, weight):
-        for t in s:
-            seen[t] += 1
-            total[t] = total.get(t, 0.0) + (y - middle) * w
-            mass[t] = mass.get(t, 0.0) + w
-    kept = sorted((t for t, k in seen.items() if k >= LEAST_DOCS), key=lambda t: (-seen[t], t))[:MOST_WORDS]
-    return {t: middle + total[t] / (mass[t] + 2.0) for t in kept}
+class Lexicon:
+    """Mean level of the rated documents that use a word, drawn towards the overall mean where they are few.
+
+    Counts are kept by fold, so that a fold's documents can be told by the ratings of the other folds alone. A word is
+    known if at least LEAST_DOCS of the documents that count use it.
+    """
+
+    def __init__(self, middle: float, words: list[str], folds: np.ndarray, seen: np.ndarray, mass: np.ndarray, total: np.ndarray):
+        self.middle, self.places = middle, {w: i for i, w in enumerate(dict.fromkeys(words))}
+        at = np.array([self.places[w] for w in words], dtype=np.int64)
+        shape = (len(self.places), FOLDS)
+        self.seen, self.mass, self.total = np.zeros(shape), np.zeros(shape), np.zeros(shape)
+        for table, values in ((self.seen, seen), (self.mass, mass), (self.total, total)):
+            np.add.at(table, (at, folds), values)
+
+    def without(self, fold: int | None) -> dict[str, float]:
+        """Word -> level, from all folds but one."""
+        kept = np.ones(FOLDS, dtype=bool)
+        if fold is not None:
+            kept[fold] = False
+        seen, mass, total = (t[:, kept].sum(1) for t in (self.seen, self.mass, self.total))
+        level = self.middle + total / (mass + 2.0)
+        return {w: float(level[i]) for w, i in self.places.items() if seen[i] >= LEAST_DOCS}
+
+
+def learned_lexicon(sample: DataFrame, middle: float) -> Lexicon:
+    """The lexicon of rated documents (text, fold, target, weight), counted in the workers.
+
+    What comes to the driver is one row for each word and fold, of words that LEAST_DOCS documents use.
+    """
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows: dict[tuple[str, int], list[float]] = {}
+            for text, fold, y, w in zip(pdf["text"], pdf["fold"], pdf["target"], pdf["weight"]):
+                for t in set(tokens(text)):
+                    r = rows.setdefault((t, fold), [0.0, 0.0, 0.0])
+                    r[0] += 1
+                    r[1] += w
+                    r[2] += (y - middle) * w
+            yield pd.DataFrame([(*k, *v) for k, v in rows.items()], columns=["word", "fold", "seen", "mass", "total"])
+
+    per = sample.select("text", "fold", "target", "weight").mapInPandas(count, "word string, fold int, seen double, mass double, total double")
+    per = per.groupBy("word", "fold").agg(*[F.sum(c).alias(c) for c in ("seen", "mass", "total")])
+    known = per.groupBy("word").agg(F.sum("seen").alias("n")).where(F.col("n") >= LEAST_DOCS).select("word")
+    pdf = per.join(known, "word", "left_semi").toPandas().sort_values(["word", "fold"])
+    return Lexicon(middle, list(pdf["word"]), *(pdf[c].to_numpy() for c in ("fold", "seen", "mass", "total")))
 
 
 def _cuts(score: np.ndarray, level: np.ndarray, weight: np.ndarray) -> np.ndarray:
@@ -166,55 +201,38 @@ class ReadingModel:
         return 1 + np.searchsorted(self.cuts, score, side="right")
 
 
-def fit(texts: list[str], sources: list[str], target: np.ndarray, weight: np.ndarray) -> tuple[ReadingModel, pd.DataFrame]:
-    """Model of the rated texts, and for each its score and level as predicted without its own source.
+def _folds(sources: list[str]) -> list[int]:
+    """A fold for each source, largest sources first, each into the emptiest fold."""
+    per = Counter(sources)
+    loads, fold_of = [0] * FOLDS, {}
+    for s, n in sorted(per.items(), key=lambda x: (-x[1], x[0])):
+        fold_of[s] = loads.index(min(loads))
+        loads[fold_of[s]] += n
+    return [fold_of[s] for s in sources]
+
+
+def fit(x: np.ndarray, fold: np.ndarray, target: np.ndarray, weight: np.ndarray, middle: float) -> tuple[BoostedTrees, np.ndarray, np.ndarray, np.ndarray]:
+    """(trees, borders between levels, scores as predicted without a document's own source, documents kept).
 
-    Sources fall into folds; the vocabulary of a fold's documents is learned from the other folds, for the training
-    features too, so no document's own rating reaches its features. Documents whose rating lies far from what the other
-    folds predict are taken for slips of the rater and leave the final fit. Without ratings every text gets level 3.
+    Documents whose rating lies far from what the other folds predict are taken for slips of the rater and leave the
+    final fit: more than 1.25 levels off, and more than three times as far as the middle one.
     """
-    n = len(texts)
-    if n == 0:
-        return ReadingModel({}, 3.0, None, np.array([1.5, 2.5, 3.5, 4.5])), pd.DataFrame({"score": [], "level": []})
-    names = sorted(set(sources), key=lambda s: (-sources.count(s), s)) if n < 2000 else [s for s, _ in sorted(Counter(sources).items(), key=lambda x: (-x[1], x[0]))]
-    loads = [0] * FOLDS
-    fold_of: dict[str, int] = {}
-    per = Counter(sources)
-    for s in names:  # largest sources first, each into the emptiest fold
-        k = loads.index(min(loads))
-        fold_of[s] = k
-        loads[k] += per[s]
-    fold = np.array([fold_of[s] for s in sources])
-    sets = [set(tokens(t)) for t in texts]
-    middle = float(np.average(target, weights=weight))
-    x = np.zeros((n, len(FEATURES)))
-    for k in range(FOLDS):
-        inside = np.flatnonzero(fold == k)
-        outside = np.flatnonzero(fold != k)
-        if len(inside) == 0:
-            continue
-        lex = learned_lexicon([sets[i] for i in outside], target[outside], weight[outside]) if len(outside) else {}
-        x[inside] = [features(texts[i], lex, middle) for i in inside]
-    small = n < 400
-    make = lambda: BoostedTrees(trees=120 if small else 200, depth=3 if small else 4, least_weight=3.0 if small else 8.0)
-    score = np.full(n, middle)
+    make = lambda: BoostedTrees(trees=200, depth=3, least_weight=4.0)
+    score = np.full(len(target), middle)
     for k in range(FOLDS):
         inside, outside = fold == k, fold != k
         if inside.any() and outside.any():
             score[inside] = make().fit(x[outside], target[outside], weight[outside]).predict(x[inside])
-    cuts = _cuts(score, target, weight)
-    kept = np.abs(score - target) <= 1.25
-    if kept.sum() < 0.5 * n:
-        kept[:] = True
-    lexicon = learned_lexicon([s for s, k in zip(sets, kept) if k], target[kept], weight[kept])
-    model = ReadingModel(lexicon, middle, make().fit(x[kept], target[kept], weight[kept]), cuts)
-    return model, pd.DataFrame({"score": score, "level": model.level(score)})
+    off = np.abs(score - target)
+    kept = off <= max(1.25, 3 * float(np.median(off)))
+    return make().fit(x[kept], target[kept], weight[kept]), _cuts(score, target, weight), score, kept
 
 
-def rated_sample(docs: DataFrame, ratings: DataFrame) -> pd.DataFrame:
+def rated_sample(docs: DataFrame, ratings: DataFrame) -> DataFrame:
     """At most MOST_RATED rated documents with text: doc_id, text, source, target (mean rating), raters.
 
-    Ratings outside the scale and null ratings do not count; repeated ratings by one rater count once.
+    Ratings outside the scale and null ratings do not count; repeated ratings by one rater count once. The sample is the
+    one bound on the labelled rows: which documents are in it a hash of their id decides.
     """
     per = (
         ratings.where(F.col("doc_id").isNotNull() & F.col("reading_level").between(LEVELS[0], LEVELS[-1]))
@@ -223,16 +241,47 @@ def rated_sample(docs: DataFrame, ratings: DataFrame) -> pd.DataFrame:
         .groupBy("doc_id")
         .agg(F.avg("reading_level").alias("target"), F.count(F.lit(1)).alias("raters"))
     )
-    rows = docs.where(F.col("text").isNotNull()).select("doc_id", "text", F.coalesce("source", F.lit("")).alias("source")).join(per, "doc_id")
-    return rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MOST_RATED).toPandas().sort_values("doc_id", ignore_index=True)
+    texts = docs.where(F.col("text").isNotNull())
+    ids = texts.select(F.col("doc_id").cast("long").alias("doc_id")).join(per, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(MOST_RATED)
+    return texts.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce("source", F.lit("")).alias("source")).join(F.broadcast(ids), "doc_id")
 
 
 def fit_on(docs: DataFrame, ratings: DataFrame) -> tuple[ReadingModel, pd.DataFrame]:
-    """The model, and the rated sample with cross-validated score and level."""
-    sample = rated_sample(docs, ratings)
-    weight = np.sqrt(sample["raters"].to_numpy(float)) if len(sample) else np.empty(0)
-    model, cv = fit(list(sample["text"]), list(sample["source"]), sample["target"].to_numpy(float), weight)
-    return model, pd.concat([sample.drop(columns="text"), cv], axis=1)
+    """The model, and the rated sample with cross-validated score and level.
+
+    Sources fall into folds; the vocabulary that a document is measured by is learned from the other folds, for the
+    training features too, so no document's own rating reaches its features. Texts stay in the workers: counts of words
+    and one row of features a document come to the driver. Without ratings every text gets level 3.
+    """
+    spark = docs.sparkSession
+    held = materialize(rated_sample(docs, ratings)).df
+    sample = held.drop("text").toPandas().sort_values("doc_id", ignore_index=True)
+    if len(sample) == 0:
+        return ReadingModel({}, 3.0, None, np.array([1.5, 2.5, 3.5, 4.5])), sample.assign(score=[], level=[])
+    target, weight = sample["target"].to_numpy(float), np.sqrt(sample["raters"].to_numpy(float))
+    sample["fold"], middle = _folds(list(sample["source"])), float(np.average(target, weights=weight))
+    marks = spark.createDataFrame(sample[["doc_id", "fold"]].drop_duplicates("doc_id").astype({"fold": "int32"}))
+    rows = held.join(F.broadcast(marks), "doc_id").withColumn("weight", F.sqrt("raters"))
+    lexicon = learned_lexicon(rows, middle)
+    shared = spark.sparkContext.broadcast(cloudpickle.dumps(lexicon))
+
+    def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = cloudpickle.loads(shared.value)
+        views: dict[int, dict[str, float]] = {}
+        for pdf in batches:
+            x = [features(t, views[k] if k in views else views.setdefault(k, known.without(k)), middle) for t, k in zip(pdf["text"], pdf["fold"])]
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "x": x})
+
+    measured = rows.select("doc_id", "text", "fold").mapInPandas(measure, "doc_id long, x array<double>").toPandas()
+    at = dict(zip(measured["doc_id"], measured["x"]))
+    x = np.array([at[k] for k in sample["doc_id"]])
+    trees, cuts, score, kept = fit(x, sample["fold"].to_numpy(), target, weight, middle)
+    if not kept.all():
+        # The words of documents that left count no more.
+        gone = spark.createDataFrame(sample.loc[~kept, ["doc_id"]])
+        lexicon = learned_lexicon(rows.join(F.broadcast(gone), "doc_id", "left_anti"), middle)
+    model = ReadingModel(lexicon.without(None), middle, trees, cuts)
+    return model, sample.assign(score=score, level=model.level(score))
 
 
 def reading_levels(docs: DataFrame, ratings: DataFrame) -> DataFrame:
@@ -240,8 +289,8 @@ def reading_levels(docs: DataFrame, ratings: DataFrame) -> DataFrame:
 
     docs: doc_id, text, lang, source; ratings: doc_id, rater, reading_level. A null or letterless text and a document in
     another language get no row. Levels lie on the scale of the ratings, for unrated documents too; without any rating,
-    3. Repeated rows come out once. Whole texts are read. The model (trees, vocabulary and borders, all of bounded size)
-    is broadcast; only the rated sample, at most MOST_RATED documents, comes to the driver.
+    3. Repeated rows come out once. Whole texts are read. The model is broadcast: trees, borders, and the vocabulary of the
+    rated sample of at most MOST_RATED documents.
     """
     model, _ = fit_on(docs, ratings)
     shared = docs.sparkSession.sparkContext.broadcast(cloudpickle.dumps(model))
