@@ -1,8 +1,8 @@
 """Registry of named queries and their SQL."""
 
-from relgraph.queries import catalogue, graph, problems
+from relgraph.queries import catalogue, graph, ontology, problems
 
-MODULES = [problems, graph, catalogue]
+MODULES = [problems, graph, ontology, catalogue]
 
 
 def registry() -> tuple[dict, dict]:

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from relgraph.operators.hierarchy import Hierarchy
 from relgraph.operators.intervals import interval_gaps, interval_periods
 from relgraph.operators.orphans import orphan_references, orphan_report, valid_versions
-from relgraph.operators.units import BASES, UNITS, base_of, factor, linked_measures, noted_unit, pairwise_scales, recorded_units, spelled_unit
+from relgraph.operators.units import BASES, UNITS, base_of, factor, linked_measures, noted_unit, pairwise_scales, recorded_units, snapped_unit, source_factors, spelled_unit
 from relgraph.operators.skew import heavy_keys, key_profile, running_by_key
 from relgraph.sources.tables import table
 
@@ -72,6 +74,8 @@ def p1_back_edges(spark: SparkSession, d: str) -> DataFrame:
     return _hierarchy(spark, d).back_edges.select(F.col("src").alias("parent_part_id"), F.col("dst").alias("child_part_id"))
 
 
+P1_BACK_EDGES_SQL = f"{_P1_SQL} SELECT a AS parent_part_id, b AS child_part_id FROM e WHERE a = b OR a > b AND EXISTS (SELECT 1 FROM r WHERE r.a = e.b AND r.b = e.a)"
+
 # p2 -----------------------------------------------------------------------------------------------------------------
 
 FIELD_OF_BASE = {"kg": "unit_weight_kg", "m": "unit_length_m"}
@@ -97,62 +101,97 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_values(spark: SparkSession, d: str) -> DataFrame:
-    """Every value in its base unit; base_unit and value are null where nothing tells the unit."""
+    """Every value in its base unit, to three decimals; base_unit and value are null where nothing tells the unit."""
     unit = F.col("unit")
     quantities = _p2_quantities(spark, d).select(
         F.lit("bill_of_materials").alias("table_name"), F.lit("quantity").alias("field_name"), F.col("id").alias("record_id"),
-        F.col("quantity").cast("double").alias("recorded"), unit, base_of(unit).alias("base_unit"), (F.col("quantity") * factor(unit)).alias("value"),
+        F.col("quantity").cast("double").alias("recorded"), unit, base_of(unit).alias("base_unit"), F.round(F.col("quantity") * factor(unit), 3).alias("value"),
     )
     measures = _p2_measures(spark, d).select(
-        F.lit("parts").alias("table_name"), "field_name", F.col("id").alias("record_id"), "recorded", unit, F.when(unit.isNotNull(), F.col("base")).alias("base_unit"), "value"
+        F.lit("parts").alias("table_name"), "field_name", F.col("id").alias("record_id"), "recorded", unit, F.when(unit.isNotNull(), F.col("base")).alias("base_unit"), F.round("value", 3).alias("value")
     )
     return quantities.unionByName(measures).distinct()
 
 
-def _unit_case(text: str) -> str:
-    """SQL for the unit that a whole text spells."""
-    low = f"lower(trim(regexp_replace({text}, '\\s+', ' ', 'g')))"
-    return "CASE " + " ".join(f"WHEN {low} IN ({', '.join(chr(39) + s + chr(39) for s in spelled)}) THEN '{u}'" for u, (_, _, spelled) in UNITS.items()) + " END"
+# The SQL states spellings, sizes and tolerances in its own words, so that it can disagree with the operator.
+_SPELT = """each: each ea st pc pcs piece pieces nos no stk|single piece|single pieces; pair: pair pairs pr prs; dozen: dozen dozens doz dz; gross: gross grs gr.144|gross (144);
+kg: kg kgs kilo kilos kilogram kilograms kilogramme kilogrammes; g: g gm gms gr gram grams gramme grammes; mg: mg milligram milligrams; t: t to tonne tonnes|metric ton|metric tons;
+lb: lb lbs pound pounds; oz: oz ounce ounces; m: m mtr mtrs lfm meter meters metre metres; mm: mm millimeter millimeters millimetre millimetres;
+cm: cm cms centimeter centimeters centimetre centimetres; in: in inch inches "; ft: ft foot feet; L: l lt ltr ltrs liter liters litre litres; ml: ml ccm milliliter milliliters millilitre millilitres;
+cl: cl centiliter centiliters centilitre centilitres; gal: gal gallon gallons|us gal|us gallon|us gallons; floz: floz|fl oz|fl.oz|fl. oz|fluid ounce|fluid ounces|us fluid ounce|us fluid ounces"""
+_WORDS = {u.strip(): [x.strip() for w in rest.split("|")[:1] for x in w.split()] + [w.strip() for w in rest.split("|")[1:]] for u, rest in (part.split(":", 1) for part in _SPELT.split(";"))}
 
 
-def _spelled(units: list[str]) -> str:
-    every = sorted((s for u in units for s in UNITS[u][2]), key=lambda s: (-len(s), s))
-    return "(" + "|".join(s.replace(".", "\\.").replace("(", "\\(").replace(")", "\\)") for s in every) + ")(?:[^a-z0-9]|$)"
+def _unit_case(text: str) -> str:
+    """SQL for the unit that a whole text spells, with or without a full stop."""
+    low = f"rtrim(lower(trim(regexp_replace({text}, '\\s+', ' ', 'g'))), '.')"
+    return "CASE " + " ".join(f"WHEN {low} IN ({', '.join(chr(39) + x + chr(39) for x in words)}) THEN '{u}'" for u, words in _WORDS.items()) + " END"
 
 
-def _snap_case(ratio: str, base: str) -> str:
-    known = [(u, f) for u, (b, f, _) in UNITS.items() if b == base]
-    off = ", ".join(f"{{'off': abs(ln({ratio} * CAST({f!r} AS DOUBLE))), 'unit': '{u}'}}" for u, f in known)
-    return f"CASE WHEN {ratio} > 0 AND list_min(list_transform([{off}], lambda x: x.off)) <= ln(1.1) THEN list_sort([{off}])[1].unit END"
+def _spelt(units: list[str]) -> str:
+    every = sorted((x for u in units for x in _WORDS[u]), key=lambda x: -len(x))
+    return "((?:" + "|".join(x.replace(".", "[.]").replace("(", "[(]").replace(")", "[)]") for x in every) + ")[.]?)"
 
 
+_SIZES = {"kg": "WHEN 'kg' THEN 1.0 WHEN 'g' THEN 1e-3 WHEN 'mg' THEN 1e-6 WHEN 't' THEN 1e3 WHEN 'lb' THEN 0.45359237 WHEN 'oz' THEN 0.0283495", "m": "WHEN 'm' THEN 1.0 WHEN 'mm' THEN 1e-3 WHEN 'cm' THEN 1e-2 WHEN 'in' THEN 0.0254 WHEN 'ft' THEN 0.3048"}
+_PIECES = "WHEN 'each' THEN 1.0 WHEN 'pair' THEN 2.0 WHEN 'dozen' THEN 12.0 WHEN 'gross' THEN 144.0 WHEN 'L' THEN 1.0 WHEN 'ml' THEN 1e-3 WHEN 'cl' THEN 1e-2 WHEN 'gal' THEN 3.785412 WHEN 'floz' THEN 0.02957353"
+# Recorded over true value, from a little below to a little above each conversion.
+_RATIOS = {
+    "kg": "WHEN ratio BETWEEN 0.88 AND 1.13 THEN 'kg' WHEN ratio BETWEEN 880 AND 1130 THEN 'g' WHEN ratio BETWEEN 8.8e5 AND 1.13e6 THEN 'mg' WHEN ratio BETWEEN 8.8e-4 AND 1.13e-3 THEN 't' WHEN ratio BETWEEN 1.94 AND 2.5 THEN 'lb' WHEN ratio BETWEEN 31 AND 40 THEN 'oz'",
+    "m": "WHEN ratio BETWEEN 0.88 AND 1.13 THEN 'm' WHEN ratio BETWEEN 880 AND 1130 THEN 'mm' WHEN ratio BETWEEN 88 AND 113 THEN 'cm' WHEN ratio BETWEEN 34.6 AND 44.5 THEN 'in' WHEN ratio BETWEEN 2.9 AND 3.7 THEN 'ft'",
+}
 _CUES = r"(?:\buom\s*[=:]|\bunits?\s*[=:]|\bamount\s+as\b|\bqty\s+in\b|\bquantity\s+in\b|\bcounted\s+in\b|\bmeasured\s+in\b|\bquantity\s*:\s*[0-9.,]+|\bneeds\s+[0-9.,]+)\s*"
 
 
 def _stated(base: str, part: int) -> str:
-    units = [u for u, (b, _, _) in UNITS.items() if b == base]
-    return f"regexp_extract(lower(description), '(?:^|[^0-9.,])([0-9]+(?:[.,][0-9]+)?)\\s*{_spelled(units)}', {part})"
+    units = re.findall("'(\\w+)'", _SIZES[base])
+    return f"regexp_extract(lower(description), '(?:^|[^0-9.,])([0-9]+(?:[.,][0-9]+)?)\\s*{_spelt(units)}(?:[^a-z0-9]|$)', {part})"
 
 
-def _p2_measure_sql(base: str, column: str, sure: str) -> str:
-    size = "CASE unit " + " ".join(f"WHEN '{u}' THEN CAST({f!r} AS DOUBLE)" for u, (b, f, _) in UNITS.items() if b == base) + " END"
-    return f"""SELECT 'parts' AS table_name, '{column}' AS field_name, id AS record_id, {_snap_case('ratio', base)} AS unit FROM (
-  SELECT id, recorded / coalesce(CASE WHEN sure > 0 THEN sure END, CASE WHEN stated > 0 THEN stated * {size} END) AS ratio FROM (
-    SELECT id, CAST({column} AS DOUBLE) AS recorded, CAST({sure} AS DOUBLE) AS sure, TRY_CAST(replace(number, ',', '.') AS DOUBLE) AS stated, {_unit_case('spelled')} AS unit
-    FROM (SELECT *, {_stated(base, 1)} AS number, {_stated(base, 2)} AS spelled FROM parts)))"""
+def _p2_side(base: str, column: str, sure: str) -> str:
+    """One row per part: recorded, sure and stated value, and the stated unit's size."""
+    return f"""SELECT id, '{base}' AS base, '{column}' AS field_name, CAST({column} AS DOUBLE) AS recorded, CAST({sure} AS DOUBLE) AS sure, stated, stated_unit, CASE stated_unit {_SIZES[base]} END AS size FROM (
+  SELECT *, TRY_CAST(replace(number, ',', '.') AS DOUBLE) AS stated, {_unit_case('spelled')} AS stated_unit FROM (SELECT *, {_stated(base, 1)} AS number, {_stated(base, 2)} AS spelled FROM parts))"""
 
 
-_PER = _spelled(list(UNITS)).removesuffix("(?:[^a-z0-9]|$)")
-P2_FOUND_SQL = f"""SELECT DISTINCT table_name, field_name, record_id, unit AS recorded_unit FROM (
-SELECT 'bill_of_materials' AS table_name, 'quantity' AS field_name, id AS record_id, coalesce({_unit_case('unit')}, {_unit_case('noted')}, {_unit_case('per')}) AS unit FROM (
-  SELECT id, unit, regexp_extract(lower(notes), '{_CUES}{_spelled(list(UNITS))}', 1) AS noted, regexp_extract(lower(notes), '[0-9.,]+\\s*{_PER}\\s+per\\s+assembly', 1) AS per FROM bill_of_materials)
+_P2_MEASURES = f"""x AS (SELECT DISTINCT * FROM ({_p2_side('kg', 'unit_weight_kg', 'weight_kg')} UNION ALL {_p2_side('m', 'unit_length_m', 'NULL')})),
+y AS (SELECT *, CASE WHEN recorded > 0 THEN recorded / coalesce(CASE WHEN sure > 0 THEN sure END, CASE WHEN stated > 0 THEN stated * size END) END AS ratio FROM x WHERE recorded IS NOT NULL),
+z AS (SELECT *, CASE WHEN base = 'kg' THEN CASE {_RATIOS['kg']} END ELSE CASE {_RATIOS['m']} END END AS unit FROM y)"""
+_ALL_UNITS = _spelt(list(_WORDS))
+_P2_QUANTITIES = f"""q AS (SELECT id, quantity, coalesce({_unit_case('unit')}, {_unit_case('noted')}, {_unit_case('per')}) AS unit FROM (
+  SELECT id, quantity, unit, regexp_extract(lower(notes), '{_CUES}{_ALL_UNITS}(?:[^a-z0-9]|$)', 1) AS noted, regexp_extract(lower(notes), '[0-9.,]+\\s*{_ALL_UNITS}\\s+per\\s+assembly', 1) AS per FROM bill_of_materials))"""
+P2_FOUND_SQL = f"""WITH {_P2_MEASURES}, {_P2_QUANTITIES} SELECT DISTINCT table_name, field_name, record_id, unit AS recorded_unit FROM (
+SELECT 'bill_of_materials' AS table_name, 'quantity' AS field_name, id AS record_id, unit FROM q
 UNION ALL SELECT 'parts', 'base_uom', id, {_unit_case('base_uom')} FROM parts
-UNION ALL {_p2_measure_sql('kg', 'unit_weight_kg', 'weight_kg')} UNION ALL {_p2_measure_sql('m', 'unit_length_m', 'NULL')})
+UNION ALL SELECT 'parts', field_name, id, unit FROM z)
 WHERE unit IS NOT NULL AND unit NOT IN ('each', 'kg', 'm', 'L')"""
+_BASE_CASE = "CASE WHEN unit IN ('each', 'pair', 'dozen', 'gross') THEN 'each' WHEN unit IN ('kg', 'g', 'mg', 't', 'lb', 'oz') THEN 'kg' WHEN unit IN ('m', 'mm', 'cm', 'in', 'ft') THEN 'm' WHEN unit IS NOT NULL THEN 'L' END"
+P2_VALUES_SQL = f"""WITH {_P2_MEASURES}, {_P2_QUANTITIES}, v AS (SELECT 'bill_of_materials' AS table_name, 'quantity' AS field_name, id AS record_id, CAST(quantity AS DOUBLE) AS recorded, unit FROM q
+UNION ALL SELECT 'parts', field_name, id, recorded, unit FROM z)
+SELECT DISTINCT table_name, field_name, record_id, recorded, unit, {_BASE_CASE} AS base_unit, round(recorded * CASE unit {_SIZES['kg']} {_SIZES['m'].replace("WHEN 'm' THEN 1.0", "WHEN 'm' THEN 1.0")} {_PIECES} END, 3) AS value FROM v"""
+P2_SCALES_SQL = f"""WITH {_P2_MEASURES}, p AS (
+SELECT base, 'sure:' || base AS source_a, 'column:' || base AS source_b, sure AS a, recorded AS b, 1.0 AS size_a FROM x
+UNION ALL SELECT base, 'text:' || stated_unit, 'column:' || base, stated, recorded, size FROM x
+UNION ALL SELECT base, 'sure:' || base, 'text:' || stated_unit, sure, stated, 1.0 FROM x),
+r AS (SELECT *, b / a / size_a AS ratio FROM p WHERE a > 0 AND b > 0),
+u AS (SELECT *, CASE WHEN base = 'kg' THEN CASE {_RATIOS['kg']} END ELSE CASE {_RATIOS['m']} END END AS unit FROM r)
+SELECT base, source_a, source_b, unit, count(*) AS n, round(median(ratio * CASE unit {_SIZES['kg']} {_SIZES['m']} END), 1) AS off, CAST(0 AS DOUBLE) AS "offset" FROM u WHERE unit IS NOT NULL GROUP BY ALL"""
 
 
 def p2_scales(spark: SparkSession, d: str) -> DataFrame:
-    return pairwise_scales(linked_measures(table(spark, d, "parts")))
+    """The groups of scales between every two sources of a measure: records, how far off the known conversion (1: none), offset.
+
+    The unit is that of source_b for source_a in its base unit, as the graph of sources has it.
+    """
+    found = pairwise_scales(linked_measures(table(spark, d, "parts")))
+    size = source_factors(found)
+    rows = []
+    for x in found:
+        for scale, n in x.groups:
+            unit = snapped_unit(scale / size[x.source_a][0], x.base)
+            if unit:
+                rows.append((x.base, x.source_a, x.source_b, unit, n, round(scale / size[x.source_a][0] * UNITS[unit][1], 1), round(x.offset, 6)))
+    return spark.createDataFrame(rows, "base string, source_a string, source_b string, unit string, n long, off double, offset double")
 
 
 # p3 -----------------------------------------------------------------------------------------------------------------
@@ -326,10 +365,13 @@ QUERIES = {
 }
 ORACLE = {
     "p2_found": P2_FOUND_SQL,
+    "p2_values": P2_VALUES_SQL,
+    "p2_scales": P2_SCALES_SQL,
     "p1_found": P1_FOUND_SQL,
     "p1_nodes": P1_NODES_SQL,
     "p1_roots": P1_ROOTS_SQL,
     "p1_below": P1_BELOW_SQL,
+    "p1_back_edges": P1_BACK_EDGES_SQL,
     "p3_found": P3_FOUND_SQL,
     "p3_buyers": P3_BUYERS_SQL,
     "p3_children": P3_CHILDREN_SQL,

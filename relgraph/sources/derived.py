@@ -49,14 +49,11 @@ DAG_SQL = """(SELECT p_partkey // 2 AS src, p_partkey AS dst, CAST(p_size AS BIG
   UNION ALL SELECT p_partkey // 3, p_partkey, CAST(p_size AS BIGINT) + 1 FROM part WHERE p_partkey >= 3 AND p_partkey // 2 <> p_partkey // 3)"""
 
 
-def dag_start(spark: SparkSession, d: str) -> int:
-    return max(1, table(spark, d, "part").count() // 200)
+#: The part from which the whole structure of dag_edges hangs.
+DAG_TOP = 1
 
 
-DAG_START_SQL = "(SELECT greatest(1, count(*) // 200) FROM part)"
-
-
-def whole_net_edges(spark: SparkSession, d: str) -> DataFrame:
+def net_edges(spark: SparkSession, d: str) -> DataFrame:
     """A weighted network of suppliers: who follows whom within orders, every pair.
 
     src, dst, n (orders), q (quantity, the weight), d0 and d1 (first and last ship date).
@@ -66,21 +63,10 @@ def whole_net_edges(spark: SparkSession, d: str) -> DataFrame:
     return steps.where("dst is not null and src <> dst").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"), F.sum("q").alias("q"), F.min("d").alias("d0"), F.max("d").alias("d1"))
 
 
-def net_edges(spark: SparkSession, d: str) -> DataFrame:
-    """The three strongest ways on of each supplier in whole_net_edges, as NET_SQL has them."""
-    rank = F.row_number().over(Window.partitionBy("src").orderBy(F.desc("n"), "dst"))
-    return whole_net_edges(spark, d).withColumn("rank", rank).where("rank <= 3").drop("rank")
-
-
-NET_SQL = """(SELECT src, dst, n, q, d0, d1 FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY n DESC, dst) AS rank FROM (
-  SELECT src, dst, count(*) AS n, sum(q) AS q, min(d) AS d0, max(d) AS d1 FROM (
+NET_SQL = """(SELECT src, dst, count(*) AS n, sum(q) AS q, min(d) AS d0, max(d) AS d1 FROM (
     SELECT l_suppkey AS src, lead(l_suppkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_suppkey, l_partkey, l_quantity, l_extendedprice, l_shipdate) AS dst, l_quantity AS q, l_shipdate AS d FROM lineitem)
-  WHERE dst IS NOT NULL AND src <> dst GROUP BY src, dst)) WHERE rank <= 3)"""
-
-
-def net_graph(spark: SparkSession, d: str, edges=net_edges, **options) -> Graph:
-    return Graph(spark, table(spark, d, "supplier"), edges(spark, d), "src", "dst", "s_suppkey", start_col="d0", end_col="d1", **options)
+  WHERE dst IS NOT NULL AND src <> dst GROUP BY src, dst)"""
 
 
-def whole_net_graph(spark: SparkSession, d: str, **options) -> Graph:
-    return net_graph(spark, d, whole_net_edges, **options)
+def net_graph(spark: SparkSession, d: str, **options) -> Graph:
+    return Graph(spark, table(spark, d, "supplier"), net_edges(spark, d), "src", "dst", "s_suppkey", start_col="d0", end_col="d1", **options)

@@ -5,6 +5,8 @@ import random
 import pytest
 from graphs import betweenness, components, edges, groups, nodes, reach, simple_paths
 
+from pyspark.sql import functions as F
+
 from relgraph.operators import network as N
 from relgraph.operators.aggregate import OPERATIONS, aggregate_paths, is_acyclic, path_aggregate
 from relgraph.operators.components import strong_groups
@@ -96,8 +98,9 @@ def test_random_graphs(spark, seed):
     assert {tuple(sorted(v)) for v in got.values()} == groups(rows) and all(k == min(v) for k, v in got.items())
     left = {(a, b) for a, b, *_ in rows} - {tuple(x) for x in back.collect()}
     assert not groups(sorted(left))
-    by_joins, _ = strong_groups(e, local_edges=0)
+    by_joins, back_by_joins = strong_groups(e, local_edges=0)
     assert {tuple(x) for x in by_joins.collect()} == {tuple(x) for x in found.collect()}
+    assert {tuple(x) for x in back_by_joins.collect()} == {tuple(x) for x in back.collect()}
     labels = N.connected_labels(Graph.of(spark, n, e, "src", "dst").simple_edges())
     assert {x["node"]: x["component"] for x in labels.collect()} == components(rows)
     plain = [(a, b) for a, b in pairs if a != b]
@@ -113,13 +116,12 @@ def test_random_graphs(spark, seed):
         assert math.isclose(x["score"], k / far * k / (len(ends) - 1) if far else 0.0)
 
 
-@pytest.mark.parametrize("small_rows", [0, 12, 10_000])
-def test_search_is_the_same_on_driver_and_cluster(spark, small_rows):
+def test_search_with_stops(spark):
     rng = random.Random(11)
     rows = sorted({(rng.randrange(20), rng.randrange(20)) for _ in range(45)})
     starts = spark.createDataFrame([(0, 0), (3, 3)], "root long, node long")
     stop = spark.createDataFrame([(5,), (3,), (7,)], "node long")
-    found = search(edges(spark, rows).select("src", "dst"), starts, 6, stop, True, None, small_rows)
+    found = search(edges(spark, rows).select("src", "dst"), starts, 6, stop, True)
     want = {}
     for root in (0, 3):
         level, seen = {root: (root,)}, {}
@@ -200,12 +202,44 @@ def test_paths(spark):
 
 
 @pytest.mark.parametrize("paths", [True, False])
-def test_distances_are_the_same_on_driver_and_cluster(spark, paths):
+def test_distances(spark, paths):
     rng = random.Random(7)
     rows = [(rng.randrange(12), rng.randrange(12), float(rng.randrange(4))) for _ in range(30)]
-    starts = spark.createDataFrame([(0, 0), (1, 1), (1, 2)], "root long, node long")
-    small, large = [distances(edges(spark, rows), starts, 4, paths, None, n).collect() for n in (1000, 0)]
-    assert sorted(map(tuple, small)) == sorted(map(tuple, large)) and len(small) > 5
+    starts = [(0, 0), (1, 1), (1, 2)]
+    best = {(r, v): (0.0, 0, (v,)) for r, v in starts}
+    for _ in range(9):
+        for (root, v), (dist, hops, path) in list(best.items()):
+            for a, b, w in rows:
+                if a == v:
+                    best[root, b] = min(best.get((root, b), (9e9,)), (dist + w, hops + 1, (*path, b)))
+    got = distances(edges(spark, rows), spark.createDataFrame(starts, "root long, node long"), 2**31, paths).collect()
+    assert {(r["root"], r["node"]): (r["dist"], r["hops"]) for r in got} == {k: v[:2] for k, v in best.items()}
+    if paths:
+        assert {(r["root"], r["node"]): tuple(r["path"]) for r in got} == {k: v[2] for k, v in best.items()}
+        for end in (3, 8):
+            near = distances(edges(spark, rows), spark.createDataFrame(starts[:1], "root long, node long"), 2**31, True, target=F.lit(end)).where(F.col("node") == end).collect()
+            assert [(r["dist"], tuple(r["path"])) for r in near] == [(best[0, end][0], best[0, end][2])] * ((0, end) in best)
+
+
+def test_best_paths_and_weighted_betweenness(spark):
+    rng = random.Random(2)
+    rows = sorted({(a, b): float(rng.randrange(1, 6)) for a, b in ((rng.randrange(8), rng.randrange(8)) for _ in range(26)) if a != b}.items())
+    rows = [(a, b, w) for (a, b), w in rows]
+    g = Graph.of(spark, None, edges(spark, rows), "src", "dst", weight="w")
+    paths = sorted((sum(e[2] for e in p), len(p), [0, *[e[1] for e in p]]) for p in simple_paths(rows, 0, 99) if p[-1][1] == 5)
+    assert [(x["dist"], x["hops"], x["path"]) for x in best_paths(g, 0, 5, 6, None).collect()] == paths[:6]
+    assert sorted((x["dist"], x["path"]) for x in paths_within(g, 0, 5, paths[0][0] + 3, None).collect()) == sorted((d, p) for d, _, p in paths if d <= paths[0][0] + 3)
+    links = g.simple_edges()
+    local, joined = (N.betweenness_centrality(links, Limits(max_broadcast_edges=k)) for k in (100, 0))
+    assert {x["node"]: round(x["score"], 9) for x in local.collect()} == {x["node"]: round(x["score"], 9) for x in joined.collect()}
+
+
+def test_depth_is_never_shortened_in_silence(spark):
+    chain = edges(spark, [(i, i + 1) for i in range(60)])
+    n = nodes(spark, range(61))
+    assert traverse(spark, n, chain, "src", "dst", 0, max_depth=None, skip_estimation=True).depth_reached == 60
+    with pytest.raises(SafetyLimitExceeded):
+        traverse(spark, n, chain, "src", "dst", 0, max_depth=60, limits=Limits(max_depth=50))
 
 
 def test_network(spark):
@@ -213,7 +247,10 @@ def test_network(spark):
     n = nodes(spark, range(1, 7))
     r = N.resilience_analysis(spark, n, star, "src", "dst", 5)
     assert (r.components_before, r.components_after, r.is_critical, r.affected_node_count) == (1, 4, True, 4)
-    assert r.disconnected_pairs.count() == 6 and r.isolated_nodes.count() == 4
+    assert r.disconnected_pairs.count() == r.pairs_cut == 6 and r.isolated_nodes.count() == 4
+    two = N.resilience_analysis(spark, n, edges(spark, [(5, 1), (1, 2), (2, 5), (5, 3), (3, 4), (6, 6)]), "src", "dst", 5)
+    assert {tuple(x) for x in two.disconnected_pairs.collect()} == {(1, 3), (2, 3)} and (two.pairs_cut, two.components_before, two.components_after) == (2, 2, 3)
+    assert {tuple(x) for x in two.parts.collect()} == {(1, 1, 2), (2, 1, 2), (3, 3, 1)}
     leaf = N.resilience_analysis(spark, n, star, "src", "dst", 1)
     assert (leaf.component_increase, leaf.is_critical, leaf.affected_node_count) == (0, False, 0)
     with pytest.raises(ValueError):

@@ -8,9 +8,9 @@ from graphs import edges, groups, nodes, reach
 
 from relgraph.operators.hierarchy import Hierarchy
 from relgraph.operators.intervals import interval_gaps, interval_periods
-from relgraph.operators.orphans import bloom_filter, may_contain, orphan_references, orphan_report, valid_versions
+from relgraph.operators.orphans import bloom_filter, bloom_pages, may_contain, orphan_references, orphan_report, valid_versions
 from relgraph.operators.skew import heavy_keys, hot_key_join, key_profile, running_by_key
-from relgraph.operators.units import linked_measures, noted_unit, pairwise_scales, propagate, recorded_units, spelled_unit, stated_measure
+from relgraph.operators.units import linked_measures, noted_unit, pairwise_scales, ratio_groups, recorded_units, source_factors, spelled_unit, stated_measure
 
 DAY0 = datetime.date(1970, 1, 1)
 
@@ -83,11 +83,32 @@ def test_recorded_units(spark):
     ]
     got = {(r["id"], r["base"]): r["unit"] for r in recorded_units(spark.createDataFrame(rows, PARTS)).collect()}
     assert got == {(1, "kg"): "kg", (2, "kg"): "g", (3, "kg"): "lb", (4, "kg"): "g", (5, "kg"): None, (6, "m"): "in", (7, "m"): "m", (8, "m"): None, (9, "kg"): None, (10, "kg"): None, (11, "kg"): "t"}
-    scales = {(r["source_a"], r["source_b"], r["unit"]): r for r in pairwise_scales(linked_measures(spark.createDataFrame(rows, PARTS))).collect()}
-    assert round(scales[("sure:kg", "column:kg", "g")]["scale"], 1) == 1001.5
-    assert recorded_units(spark.createDataFrame([], PARTS)).count() == 0
-    # Descriptions whose numbers prove to be grams are taken as grams, whatever they say.
-    assert propagate([("sure:kg", "text:oz", "g", 40)])["oz"] == 0.001
+    assert recorded_units(spark.createDataFrame([], PARTS)).count() == 0 and pairwise_scales(linked_measures(spark.createDataFrame([], PARTS))) == []
+
+
+def test_ratio_groups():
+    assert ratio_groups([]) == []
+    got = ratio_groups([(0, 50), (1, 40), (-2, 9), (3454, 5), (3460, 1), (400, 3)])
+    assert [n for _, n in got] == [99, 6, 3] and abs(got[0][0] - 1) < 0.005 and abs(got[1][0] - 1000) < 10
+
+
+def test_estimates_decide_the_unit(spark):
+    """Sources whose numbers are in other units than they say, and one with an offset: the unit table stays as it is."""
+    rng = random.Random(4)
+    rows = []
+    for i in range(60):
+        kg = rng.uniform(1, 9)
+        rows.append((i, f"case, {kg * 1000:.1f} oz mass", kg, kg, None, "z"))  # says ounces, means grams
+        rows.append((100 + i, f"cable {kg * 100:.2f} in length", None, None, kg, "z"))  # says inches, means centimetres
+        rows.append((200 + i, f"drum, {kg / 0.45359237 + 20:.3f} lb mass", kg, kg, None, "z"))  # pounds with 20 pounds of tare
+    rows += [(900, "case, 700 oz mass", None, 700.0, None, "z"), (901, "cable 250 in length", None, None, 98.43, "z"), (902, "drum, 42.0462 lb mass", None, 10000.0, None, "z"), (903, "bar 30 cm length", None, None, 0.3, "z")]
+    df = spark.createDataFrame(rows, PARTS)
+    found = pairwise_scales(linked_measures(df))
+    sizes = source_factors(found)
+    assert sizes["text:oz"] == (0.001, 0.0) and sizes["text:in"] == (0.01, 0.0) and sizes["text:cm"] == (0.01, 0.0)
+    assert abs(sizes["text:lb"][0] - 0.45359237) < 1e-9 and abs(sizes["text:lb"][1] - 20) < 0.5
+    got = {r["id"]: r["unit"] for r in recorded_units(df).where("id >= 900").collect()}
+    assert got == {900: "g", 901: "in", 902: "g", 903: "m"}
 
 
 # Heavy keys --------------------------------------------------------------------------------------------------------
@@ -205,14 +226,28 @@ def test_orphans(spark):
 
 
 def test_bloom_filter(spark):
-    keys = spark.range(0, 5000).selectExpr("id * 7 as key")
-    bits = bloom_filter(keys, "key", 5000)
-    assert len(bits) * 8 <= 2**17
-    probe = spark.range(0, 35_000).withColumnRenamed("id", "k")
-    hit = probe.withColumn("m", may_contain(probe, probe.k, bits)).toPandas()
+    keys = spark.range(0, 5000).selectExpr("id * 7 as key", "'x' as bits")
+    pages = bloom_pages(5000)
+    assert pages == 2 and bloom_pages(0) == 1 and bloom_pages(10**8) == 0
+    bloom = bloom_filter(keys, "key", pages)
+    assert bloom.count() == 2 and {len(r["bits"]) for r in bloom.collect()} == {512}
+    probe = spark.range(0, 35_000).selectExpr("id as k", "'y' as bits_of")
+    hit = may_contain(probe, probe.k, bloom, pages).toPandas()
     inside = hit["k"] % 7 == 0
-    assert hit[inside]["m"].all() and hit[~inside]["m"].mean() < 0.02
-    assert not np.any(bloom_filter(keys.limit(0), "key", 0))
+    assert hit[inside]["maybe"].all() and hit[~inside]["maybe"].mean() < 0.02
+    none = may_contain(probe.limit(5), probe.k, bloom_filter(keys.limit(0), "key", 1), 1)
+    assert not any(r["maybe"] for r in none.collect())
+    nulls = spark.createDataFrame([(None,)], "k long")
+    assert may_contain(nulls, nulls.k, bloom, pages).first()["maybe"]
+
+
+def test_hot_references_are_joined_where_they_lie(spark):
+    refs = spark.range(0, 900).selectExpr("'t' as table_name", "'f' as field_name", "id as record_id", "if(id < 600, 1, id % 90) as ref", "timestamp'2020-01-01' as created")
+    known = spark.range(0, 50).selectExpr("id as ref", "true as found")
+    plan = hot_key_join(refs, known, "ref", "left", floor=100)
+    text = plan._jdf.queryExecution().optimizedPlan().toString()
+    assert "broadcast" in text and "Union" in text
+    assert plan.count() == 900 and plan.where("found").count() == sum(1 for i in range(900) if (1 if i < 600 else i % 90) < 50)
 
 
 def test_soft_deleted_fixture(spark):
