@@ -13,7 +13,7 @@ from relgraph.operators.traverse import search
 from relgraph.sources.scratch import materialize, shuffles_of
 
 #: Lengths of ways that one job counts.
-LENGTHS = 8
+LENGTHS = 4
 
 
 class Hierarchy:

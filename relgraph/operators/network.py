@@ -105,50 +105,103 @@ def pagerank(links: DataFrame, alpha: float = ALPHA, tolerance: float = TOLERANC
     return state.df.select("node", "score")
 
 
-def _brandes(adjacency: tuple[np.ndarray, np.ndarray, np.ndarray | None], source: int, score: np.ndarray) -> None:
-    """Add what one source contributes to the betweenness of all nodes."""
-    start, to, weight = adjacency
-    n = len(start) - 1
-    paths, dist = np.zeros(n), np.full(n, np.inf)
-    paths[source], dist[source] = 1.0, 0.0
-    before: list[list[int]] = [[] for _ in range(n)]
-    order: list[int] = []
-    if weight is None:
-        front = [source]
-        while front:
-            order += front
-            nxt = []
-            for v in front:
-                for u in to[start[v] : start[v + 1]]:
-                    if dist[u] == np.inf:
-                        dist[u] = dist[v] + 1
-                        nxt.append(u)
-                    if dist[u] == dist[v] + 1:
-                        paths[u] += paths[v]
-                        before[u].append(v)
-            front = nxt
-    else:
-        heap, done = [(0.0, source)], np.zeros(n, dtype=bool)
+class Adjacency:
+    """Edges between places 0 to n - 1 in arrays, sorted by where they start, with their order by where they end."""
+
+    def __init__(self, n: int, src: np.ndarray, dst: np.ndarray, weight: np.ndarray | None):
+        order = np.lexsort((dst, src))
+        self.n, self.src, self.dst = n, src[order], dst[order]
+        self.weight = None if weight is None else weight[order]
+        self.start = np.searchsorted(self.src, np.arange(n + 1))
+        self.by_end = np.argsort(self.dst, kind="stable")
+        self.ends, self.first = np.unique(self.dst[self.by_end], return_index=True)
+
+    def hops(self, source: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(from, to) of the edges on ways of fewest edges, level by level."""
+        depth = np.full(self.n, -1)
+        depth[source] = 0
+        front, out = np.array([source]), []
+        while len(front):
+            size = self.start[front + 1] - self.start[front]
+            e = np.repeat(self.start[front] - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(size.sum())
+            a, b = self.src[e], self.dst[e]
+            new = np.unique(b[depth[b] < 0])
+            depth[new] = len(out) + 1
+            tight = depth[b] == len(out) + 1
+            out.append((a[tight], b[tight]))
+            front = new
+        return out
+
+    def cheapest(self, source: int) -> tuple[np.ndarray, np.ndarray]:
+        """(from, to) of the edges on cheapest ways; weights greater than 0."""
+        dist = np.full(self.n, np.inf)
+        dist[source] = 0.0
+        while True:
+            offers = np.minimum.reduceat((dist[self.src] + self.weight)[self.by_end], self.first) if len(self.ends) else np.empty(0)
+            nearer = offers < dist[self.ends]
+            if not nearer.any():
+                break
+            dist[self.ends[nearer]] = offers[nearer]
+        tight = np.isfinite(dist[self.src]) & (dist[self.src] + self.weight == dist[self.dst])
+        return self.src[tight], self.dst[tight]
+
+    def betweenness(self, source: int) -> np.ndarray:
+        """What the ways from one source contribute to the betweenness of all nodes."""
+        if self.weight is not None and (self.weight <= 0).any():
+            return self._with_free_edges(source)
+        if self.weight is None:
+            levels = self.hops(source)
+            ways = np.zeros(self.n)
+            ways[source] = 1.0
+            for a, b in levels:
+                ways += np.bincount(b, ways[a], self.n)
+            owed = np.zeros(self.n)
+            for a, b in reversed(levels):
+                owed += np.bincount(a, ways[a] / ways[b] * (1 + owed[b]), self.n)
+        else:
+            a, b = self.cheapest(source)
+            # Such edges make no cycle, so walks of each length add up and come to an end.
+            step = np.zeros(self.n)
+            step[source] = 1.0
+            ways = step.copy()
+            while len(a) and (step := np.bincount(b, step[a], self.n)).any():
+                ways += step
+            step = share = ways[a] / ways[b]
+            owed = np.bincount(a, share, self.n)
+            total = owed.copy()
+            while len(a) and (owed := np.bincount(a, share * owed[b], self.n)).any():
+                total += owed
+            owed = total
+        owed[source] = 0.0
+        return owed
+
+    def _with_free_edges(self, source: int) -> np.ndarray:
+        """As betweenness(); a node is done once, in order of distance, so that circles that cost nothing end."""
+        ways, dist = np.zeros(self.n), np.full(self.n, np.inf)
+        ways[source], dist[source] = 1.0, 0.0
+        before: list[list[int]] = [[] for _ in range(self.n)]
+        order: list[int] = []
+        heap, done = [(0.0, source)], np.zeros(self.n, dtype=bool)
         while heap:
             d, v = heapq.heappop(heap)
             if done[v]:
                 continue
             done[v] = True
             order.append(v)
-            for k in range(start[v], start[v + 1]):
-                u, far = to[k], d + weight[k]
+            for k in range(self.start[v], self.start[v + 1]):
+                u, far = self.dst[k], d + self.weight[k]
                 if far < dist[u]:
-                    dist[u], paths[u], before[u] = far, paths[v], [v]
+                    dist[u], ways[u], before[u] = far, ways[v], [v]
                     heapq.heappush(heap, (far, u))
                 elif far == dist[u] and not done[u]:
-                    paths[u] += paths[v]
+                    ways[u] += ways[v]
                     before[u].append(v)
-    owed = np.zeros(n)
-    for u in reversed(order):
-        for v in before[u]:
-            owed[v] += paths[v] / paths[u] * (1 + owed[u])
-        if u != source:
-            score[u] += owed[u]
+        owed = np.zeros(self.n)
+        for u in reversed(order):
+            for v in before[u]:
+                owed[v] += ways[v] / ways[u] * (1 + owed[u])
+        owed[source] = 0.0
+        return owed
 
 
 def _betweenness_local(links: DataFrame, weighted: bool) -> DataFrame:
@@ -156,16 +209,14 @@ def _betweenness_local(links: DataFrame, weighted: bool) -> DataFrame:
     pdf = links.select("src", "dst", *(["w"] if weighted else [])).toPandas()
     ids = np.unique(np.r_[pdf["src"].to_numpy(), pdf["dst"].to_numpy()])
     s, d = np.searchsorted(ids, pdf["src"]), np.searchsorted(ids, pdf["dst"])
-    order = np.lexsort((d, s))
-    start = np.searchsorted(s[order], np.arange(len(ids) + 1))
-    shared = links.sparkSession.sparkContext.broadcast((start, d[order], pdf["w"].to_numpy(float)[order] if weighted else None))
     n = len(ids)
+    shared = links.sparkSession.sparkContext.broadcast((n, s, d, pdf["w"].to_numpy(float) if weighted else None))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        score = np.zeros(n)
+        score, edges = np.zeros(n), Adjacency(*shared.value)
         for pdf in batches:
             for v in pdf["id"]:
-                _brandes(shared.value, int(v), score)
+                score += edges.betweenness(int(v))
         at = np.flatnonzero(score)
         yield pd.DataFrame({"place": at, "part": score[at]})
 
