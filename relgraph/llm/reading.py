@@ -217,7 +217,7 @@ def fit(x: np.ndarray, fold: np.ndarray, target: np.ndarray, weight: np.ndarray,
     Documents whose rating lies far from what the other folds predict are taken for slips of the rater and leave the
     final fit: more than 1.25 levels off, and more than three times as far as the middle one.
     """
-    make = lambda: BoostedTrees(trees=200, depth=3, least_weight=4.0)
+    make = lambda: BoostedTrees(trees=120, depth=3, least_weight=3.0)
     score = np.full(len(target), middle)
     for k in range(FOLDS):
         inside, outside = fold == k, fold != k
