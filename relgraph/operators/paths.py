@@ -15,7 +15,7 @@ from relgraph.sources.scratch import materialize
 
 
 #: How much the bound of cost grows each time the k best paths are sought.
-GROWTH = 1.15
+GROWTH = 1.25
 #: Tables of bettered states that a round looks through before they are written together.
 STATE_TABLES = 6
 
@@ -162,22 +162,20 @@ def all_shortest_paths(
     return tied_paths(g, start_id, end_id, max_paths, max_depth)
 
 
-def simple_paths(links: DataFrame, start: DataFrame, end, max_depth: int, limits: Limits = LIMITS, within: float | None = None) -> DataFrame:
-    """Every simple path from start (a column node) to the node ``end`` over links (src, dst, w): path, dist, hops.
-
-    Only nodes are entered that can still reach the end in the edges left, and, where ``within`` bounds the cost, at the
-    cost left. So what is enumerated is little more than what comes out.
-    """
+def _ways_to(links: DataFrame, goal: DataFrame, max_depth: int, within: float | None = None, costs: bool = True) -> DataFrame:
+    """Links (src, dst, w) from which the goal (root, node) can be reached: with the fewest edges (still) and the least cost (owed) from dst on."""
     turned = links.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w")
-    goal = start.limit(1).select(end.alias("root"), end.alias("node"))
     steps = distances(turned.withColumn("w", F.lit(1.0)), goal, max_depth, False).select(F.col("node").alias("dst"), F.col("hops").alias("still"))
     ways = links.join(steps, "dst")
-    if within is not None:
-        cost = distances(turned, goal, max_depth, False, within).select(F.col("node").alias("dst"), F.col("dist").alias("owed"))
-        ways = ways.join(cost, "dst")
+    if costs:
+        ways = ways.join(distances(turned, goal, max_depth, False, within).select(F.col("node").alias("dst"), F.col("dist").alias("owed")), "dst")
     else:
         ways = ways.withColumn("owed", F.lit(0.0))
-    ways = materialize(ways.select("src", "dst", "w", "still", "owed")).df
+    return materialize(ways.select("src", "dst", "w", "still", "owed")).df
+
+
+def _enumerated(ways: DataFrame, start: DataFrame, end, max_depth: int, limits: Limits, within: float | None) -> DataFrame:
+    """Every simple path over _ways_to() from start (a column node) to the node ``end``: path, dist, hops."""
     level = materialize(start.select("node", F.array("node").alias("path"), F.lit(0.0).alias("dist"), F.lit(0).alias("hops")))
     done = [level.df.where(F.col("node") == end)]
     total = 0
@@ -198,6 +196,16 @@ def simple_paths(links: DataFrame, start: DataFrame, end, max_depth: int, limits
     return found if within is None else found.where(F.col("dist") <= within)
 
 
+def simple_paths(links: DataFrame, start: DataFrame, end, max_depth: int, limits: Limits = LIMITS, within: float | None = None) -> DataFrame:
+    """Every simple path from start (a column node) to the node ``end`` over links (src, dst, w): path, dist, hops.
+
+    Only nodes are entered that can still reach the end in the edges left, and, where ``within`` bounds the cost, at the
+    cost left. So what is enumerated is little more than what comes out.
+    """
+    goal = start.limit(1).select(end.alias("root"), end.alias("node"))
+    return _enumerated(_ways_to(links, goal, max_depth, within, within is not None), start, end, max_depth, limits, within)
+
+
 def paths_within(g: Graph, start_id: Any, end_id: Any, max_cost: float | None = None, max_depth: int | None = 10, limits: Limits = LIMITS) -> DataFrame:
     """Every simple path of at most max_depth edges and max_cost: path, dist, hops."""
     links = materialize(_weighted(g)).df
@@ -209,19 +217,19 @@ def best_paths(g: Graph, start_id: Any, end_id: Any, k: int = 3, max_depth: int
     """The k cheapest simple paths of at most max_depth edges: path, dist, hops, in order of (dist, hops, path).
 
     Paths are enumerated up to a bound of cost, which grows from the cheapest path's until k paths are within it or
-    none is beyond it.
+    none is beyond it. What is owed to the end is worked out once.
     """
     links = materialize(_weighted(g)).df
     depth = limits.depth(max_depth)
     begin, end = g.typed_id(start_id), g.typed_id(end_id)
-    start = g.spark.range(1).select(begin.alias("root"), begin.alias("node"))
-    best = distances(links, start, depth, False, target=end).where(F.col("node") == end).first()
-    total = links.agg(F.sum("w")).first()[0] or 0.0  # no simple path costs more
-    bound = best["dist"] if best else 0.0
-    least = links.where("w > 0").agg(F.min("w")).first()[0] or 1.0
+    start = g.spark.range(1).select(begin.alias("node"))
+    ways = _ways_to(links, g.spark.range(1).select(end.alias("root"), end.alias("node")), depth)
+    r = links.agg(F.sum("w").alias("total"), F.min(F.when(F.col("w") > 0, F.col("w"))).alias("least")).first()
+    nearest = ways.where(F.col("src") == begin).agg(F.min(F.col("w") + F.col("owed"))).first()[0]
+    total, bound = r["total"] or 0.0, (nearest or 0.0) * GROWTH  # no simple path costs more than all edges
     while True:
-        found = materialize(simple_paths(links, start.select("node"), end, depth, limits, bound))
-        if best is None or found.rows >= k or bound >= total:
+        found = materialize(_enumerated(ways, start, end, depth, limits, min(bound, total)))
+        if found.rows >= k or bound >= total:
             return found.df.orderBy("dist", "hops", "path").limit(k)
         found.drop()
-        bound = min(total, max(bound * GROWTH, bound + least))
+        bound = max(bound * GROWTH, bound + (r["least"] or 1.0))
