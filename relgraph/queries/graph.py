@@ -686,7 +686,7 @@ def x_streaming_degrees(spark: SparkSession, d: str) -> DataFrame:
     reader = spark.readStream.schema(rows.schema)
     single = any(f.endswith("/events.parquet") for f in rows.inputFiles())  # a stream reads folders, not a file
     stream = reader.option("pathGlobFilter", "events.parquet").parquet(d) if single else reader.parquet(f"{d}/events.parquet")
-    return run_available(streaming_degrees(stream, "user_id", "event_type"))
+    return run_available(streaming_degrees(stream, "user_id", "event_type"), ["node"])
 
 
 _add(

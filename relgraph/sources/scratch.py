@@ -45,6 +45,21 @@ class Scratch:
 
 
 _cleaned: set[str] = set()
+_scopes: list[list[Scratch]] = []
+
+
+@contextmanager
+def scratch_scope() -> Iterator[None]:
+    """Intermediate tables made inside are deleted at its end, so that the disk of a long-lived driver does not fill.
+
+    Results that rest on them must be written or collected inside.
+    """
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for x in _scopes.pop():
+            x.drop()
 
 
 def _folder(spark: SparkSession) -> str:
@@ -77,7 +92,10 @@ def materialize(df: DataFrame, **observed: Column) -> Scratch:
     got = dict(seen.get)
     if "n" not in got:  # a plan that proves empty may drop what watches it
         got = back.agg(*wanted).first().asDict()
-    return Scratch(spark, back, path, got)
+    out = Scratch(spark, back, path, got)
+    if _scopes:
+        _scopes[-1].append(out)
+    return out
 
 
 @contextmanager

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from relgraph.sources.scratch import scratch_root
 
@@ -24,13 +26,21 @@ def windowed_edges(edges: DataFrame, at: str, dst: str, width: str = "1 hour", l
     return rows.select(F.col("window.start").alias("start"), dst, "n")
 
 
-def run_available(stream: DataFrame, mode: str = "complete") -> DataFrame:
-    """Run a stream over all input that is there and return what its in-memory sink holds; for bounded results."""
-    name = f"relgraph_{uuid.uuid4().hex}"
+def run_available(stream: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Run a stream over all input that is there; the last row of each key, as a table in the shared folder.
+
+    Every batch appends the rows that it changed, with its number, so that nothing is held on the driver and a batch that
+    is written twice changes nothing.
+    """
     spark = stream.sparkSession
-    query = (
-        stream.writeStream.outputMode(mode).format("memory").queryName(name)
-        .option("checkpointLocation", f"{scratch_root(spark)}/{name}").trigger(availableNow=True).start()
-    )
-    query.awaitTermination()
-    return spark.table(name)
+    path = f"{scratch_root(spark)}/relgraph-stream-{uuid.uuid4().hex}"
+    kind = T.StructType([*stream.schema.fields, T.StructField("__batch", T.LongType())])
+    spark.createDataFrame([], kind).write.parquet(f"{path}/rows")
+
+    def keep(rows: DataFrame, batch: int) -> None:
+        rows.withColumn("__batch", F.lit(batch).cast("long")).write.mode("append").parquet(f"{path}/rows")
+
+    stream.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    others = [c for c in stream.columns if c not in keys]
+    last = spark.read.schema(kind).parquet(f"{path}/rows").groupBy(*keys).agg(F.max_by(F.struct(*others), "__batch").alias("__last"))
+    return last.select(*keys, *[F.col("__last")[c].alias(c) for c in others])

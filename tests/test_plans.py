@@ -149,6 +149,51 @@ def test_quality(spark):
     assert not V.table_exists(spark, "no_such_table")
 
 
+def test_scratch_tables_end_with_their_scope(spark):
+    import glob
+
+    from relgraph.sources.scratch import materialize, scratch_root, scratch_scope, shuffles_of
+
+    kept = materialize(spark.range(3).toDF("id"))
+    own = f"{scratch_root(spark).removeprefix('file:')}/relgraph-{spark.sparkContext.applicationId}/*"
+    before = set(glob.glob(own))
+    with scratch_scope():
+        inside = materialize(spark.range(5).toDF("id"))
+        inside.drop()
+        assert materialize(spark.range(7).toDF("id")).df.count() == 7
+    assert set(glob.glob(own)) == before and kept.df.count() == kept.rows == 3
+    was = spark.conf.get("spark.sql.shuffle.partitions")
+    with pytest.raises(RuntimeError), shuffles_of(spark, 3):
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "3"
+        raise RuntimeError
+    assert spark.conf.get("spark.sql.shuffle.partitions") == was
+
+
+def test_stream_of_edges(spark, tmp_path):
+    from relgraph.streaming.degrees import run_available, streaming_degrees, windowed_edges
+
+    kind = "a long, b string, at timestamp, node string"
+    for k, rows in enumerate([[(1, "x", "2024-01-01 00:10:00", "z"), (1, "y", "2024-01-01 00:20:00", "z"), (None, "x", "2024-01-01 00:20:00", "z")], [(2, "x", "2024-01-01 05:00:00", None), (1, None, None, None)]]):
+        spark.createDataFrame(rows, kind.replace("timestamp", "string")).selectExpr("a", "b", "cast(at as timestamp) as at", "node").coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
+    stream = spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+    got = run_available(streaming_degrees(stream, "a", "b"), ["node"])
+    assert {tuple(r) for r in got.collect()} == {("1", 2, 0), ("2", 1, 0), ("x", 0, 2), ("y", 0, 1)}
+    windows = run_available(windowed_edges(stream, "at", "b"), ["start", "b"])
+    assert sorted((r["b"], r["n"]) for r in windows.collect() if r["b"]) == [("x", 1), ("x", 2), ("y", 1)]
+    assert run_available(streaming_degrees(stream.where("false"), "a", "b"), ["node"]).count() == 0
+
+
+def test_copy_text_round_trip(spark, tmp_path):
+    from relgraph.sources.copytext import copy_lines, read_copy, write_copy
+
+    rows = [(1, "a\tb\\tc\nd\re", True, None), (2, None, False, 1.5), (3, "\\N", None, 0.0), (4, "", True, -2.0)]
+    df = spark.createDataFrame(rows, "line long, s string, ok boolean, x double")
+    assert copy_lines(df).first()["line"] == "1\ta\\tb\\\\tc\\nd\\re\tt\t\\N"
+    write_copy(df, str(tmp_path / "out"))
+    assert sorted(tuple(r) for r in read_copy(df, str(tmp_path / "out")).collect()) == rows
+    assert copy_lines(df.limit(0)).count() == 0
+
+
 def test_entry_module_without_optional_part():
     import __spark_entry__ as entry
 
