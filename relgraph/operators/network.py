@@ -80,11 +80,12 @@ def pagerank(links: DataFrame, alpha: float = ALPHA, tolerance: float = TOLERANC
     shares = materialize(held.df.join(sums, "src").select("src", "dst", (F.col("w") / F.col("out")).alias("share"))).df
     outlets = sums.select(F.col("src").alias("node"), F.lit(1).alias("outlet"))
     base = materialize(nodes.df.join(outlets, "node", "left").select("node", F.col("outlet").isNull().alias("dangling"))).df
-    state = materialize(base.select("node", "dangling", F.lit(1.0 / n).alias("score")))
+    held_back = F.sum(F.when(F.col("dangling"), F.col("score")))
+    state = materialize(base.select("node", "dangling", F.lit(1.0 / n).alias("score")), loose=held_back)
     done = 0
     while done < iterations:
         cur = state.df
-        loose = float(cur.where("dangling").agg(F.sum("score")).first()[0] or 0.0)
+        loose = float(state.seen["loose"] or 0.0)
         rounds = 1 if done + BLOCK > iterations else BLOCK
         lost = F.lit(loose)
         for _ in range(rounds):
@@ -95,7 +96,7 @@ def pagerank(links: DataFrame, alpha: float = ALPHA, tolerance: float = TOLERANC
                 # What dangling nodes hold in the next round is a scalar of this one.
                 lost = F.coalesce(cur.where("dangling").agg(F.sum("score")).scalar(), F.lit(0.0))
         was = before.select("node", F.col("score").alias("was"))
-        new = materialize(cur.join(was, "node"), moved=F.sum(F.abs(F.col("score") - F.col("was"))))
+        new = materialize(cur.join(was, "node"), moved=F.sum(F.abs(F.col("score") - F.col("was"))), loose=held_back)
         state.drop()
         state = new
         state.df = new.df.drop("was")

@@ -640,7 +640,17 @@ _add(
 SELECT count(*) AS edges, count(*) FILTER (p.tier < c.tier) AS back_edges, round(count(*) FILTER (p.tier < c.tier) / CAST(count(*) AS DOUBLE), 8) AS ratio
 FROM x JOIN v AS p ON p.id = x.a JOIN v AS c ON c.id = x.b WHERE p.tier IS NOT NULL AND c.tier IS NOT NULL""",
 )
-_add("v11_axioms", lambda s, d: V.axiom_report(s, parts_graph(s, d), dict.fromkeys(("irreflexive", "asymmetric", "acyclic", "functional"), True)))
+_add(
+    "v11_axioms", lambda s, d: V.axiom_report(s, parts_graph(s, d), dict.fromkeys(("irreflexive", "asymmetric", "acyclic", "functional"), True)).select("axiom", "violations"),
+    f"""WITH RECURSIVE e AS MATERIALIZED (SELECT DISTINCT a, b FROM ({_edges_sql(*BOM)})), r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
+SELECT 'irreflexive' AS axiom, count(*) AS violations FROM e WHERE a = b UNION ALL SELECT 'asymmetric', count(*) FROM e AS x JOIN e AS y ON y.a = x.b AND y.b = x.a WHERE x.a < x.b
+UNION ALL SELECT 'acyclic', CAST(count(*) > 0 AS BIGINT) FROM r WHERE a = b UNION ALL SELECT 'functional', count(*) FROM (SELECT a FROM e GROUP BY a HAVING count(*) > 1)""",
+)
+_add(
+    "v9_missing_entities",
+    lambda s, d: s.createDataFrame([(x,) for x in V.missing_entities(table(s, d, "suppliers"), "supplier_code", [f"SU-{k:09d}" for k in range(990, 1011)])], "supplier_code string"),
+    "SELECT * FROM (SELECT 'SU-' || lpad(CAST(unnest(range(990, 1011)) AS VARCHAR), 9, '0') AS supplier_code) WHERE supplier_code NOT IN (SELECT supplier_code FROM suppliers WHERE supplier_code IS NOT NULL)",
+)
 _add(
     "v10_referential", lambda s, d: V.referential_report(table(s, d, "bill_of_materials"), "child_part_id", table(s, d, "parts"), "id"),
     "SELECT count(*) AS rows, count(*) FILTER (child_part_id NOT IN (SELECT id FROM parts WHERE id IS NOT NULL)) AS orphans FROM bill_of_materials WHERE child_part_id IS NOT NULL",

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from relgraph.operators.quality import count_matches, missing_columns, table_exists
 from relgraph.plans.bridge import RoleGraph
 from relgraph.plans.ontology import Ontology
 from relgraph.queries.graph import AT, BOM, DEPTH, PARENT, REL, SELLER, _edges_sql, _parent, _reach_sql, _seller
@@ -137,4 +138,26 @@ _add(
     "SELECT CAST(parent_part_id AS VARCHAR) AS src, CAST(child_part_id AS VARCHAR) AS dst, CAST(quantity AS BIGINT) AS quantity FROM bill_of_materials WHERE parent_part_id IS NOT NULL AND child_part_id IS NOT NULL",
 )
 
+
+
+def v1_mapped_tables(spark: SparkSession, d: str) -> DataFrame:
+    """Each class and role: whether its table is there, which of its columns are not, and its rows against a declared number."""
+    rg = roles(spark, d)
+    rows = []
+    for e in rg.ontology.entities.values():
+        rg.read(e.table).createOrReplaceTempView(e.table)
+        wanted = [*e.primary_key, *e.identifier, *([e.soft_delete_column] if e.soft_delete_column else [])]
+        rows.append((e.name, table_exists(spark, e.table), ",".join(missing_columns(rg.read(e.table), wanted)), *count_matches(rg.read(e.table), DECLARED)))
+    for r in rg.ontology.relationships.values():
+        df = rg.read(r.edge_table)
+        df.createOrReplaceTempView(r.edge_table)
+        rows.append((r.name, table_exists(spark, r.edge_table), ",".join(missing_columns(df, [*r.domain_key, *r.range_key, *(w["name"] for w in r.weight_columns)])), *count_matches(df, DECLARED)))
+    return spark.createDataFrame(rows, "name string, present boolean, missing string, as_declared boolean, n long")
+
+
+DECLARED = 1_000
+_add("v1_mapped_tables", v1_mapped_tables, f"""SELECT name, true AS present, '' AS missing, n = {DECLARED} AS as_declared, n FROM (
+SELECT 'Supplier' AS name, count(DISTINCT id) AS n FROM suppliers UNION ALL SELECT 'Part', count(DISTINCT id) FROM parts UNION ALL SELECT 'PrimarySupplier', count(DISTINCT id) FROM parts
+UNION ALL SELECT 'SuppliesTo', count(*) FROM supplier_relationships UNION ALL SELECT 'HasComponent', count(*) FROM bill_of_materials)""")
+
 __all__ = ["ONTOLOGY", "ORACLE", "QUERIES", "roles"]
