@@ -223,12 +223,12 @@ def test_distances(spark, paths):
 
 def test_best_paths_and_weighted_betweenness(spark):
     rng = random.Random(2)
-    rows = sorted({(a, b): float(rng.randrange(1, 6)) for a, b in ((rng.randrange(8), rng.randrange(8)) for _ in range(26)) if a != b}.items())
+    rows = sorted({(a, b): float(rng.randrange(1, 4)) for a, b in ((rng.randrange(6), rng.randrange(6)) for _ in range(18)) if a != b}.items())
     rows = [(a, b, w) for (a, b), w in rows]
     g = Graph.of(spark, None, edges(spark, rows), "src", "dst", weight="w")
     paths = sorted((sum(e[2] for e in p), len(p), [0, *[e[1] for e in p]]) for p in simple_paths(rows, 0, 99) if p[-1][1] == 5)
-    assert [(x["dist"], x["hops"], x["path"]) for x in best_paths(g, 0, 5, 6, None).collect()] == paths[:6]
-    assert sorted((x["dist"], x["path"]) for x in paths_within(g, 0, 5, paths[0][0] + 3, None).collect()) == sorted((d, p) for d, _, p in paths if d <= paths[0][0] + 3)
+    assert len(paths) > 3 and [(x["dist"], x["hops"], x["path"]) for x in best_paths(g, 0, 5, 3, None).collect()] == paths[:3]
+    assert sorted((x["dist"], x["path"]) for x in paths_within(g, 0, 5, paths[0][0] + 1, None).collect()) == sorted((d, p) for d, _, p in paths if d <= paths[0][0] + 1)
     links = g.simple_edges()
     local, joined = (N.betweenness_centrality(links, Limits(max_broadcast_edges=k)) for k in (100, 0))
     assert {x["node"]: round(x["score"], 9) for x in local.collect()} == {x["node"]: round(x["score"], 9) for x in joined.collect()}
