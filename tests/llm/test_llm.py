@@ -291,6 +291,25 @@ def test_cosine_pairs_are_exact(spark, monkeypatch):
         assert len(rows) == len(got) and got.keys() == want.keys() and all(abs(got[k] - v) < 1e-6 for k, v in want.items())
 
 
+def test_texts_travel_and_are_told_apart_where_they_meet(spark, monkeypatch):
+    """Passes over shares of the grams give every pair once; pairs turned down are never written, nor are vectors."""
+    rng = random.Random(10)
+    texts = sorted({" ".join(sorted("".join(rng.choice("abc") for _ in range(rng.randrange(3, 7))) for _ in range(2))) for _ in range(120)})
+    df = spark.createDataFrame(list(enumerate(texts)), "node long, core string")
+    told = lambda: lambda x, y: x[0] == y[0]
+    every = {(r["a"], r["b"]): r["sim"] for r in N.cosine_pairs(df, len(texts)).collect()}
+    want = {k: v for k, v in every.items() if texts[k[0]][0] == texts[k[1]][0]}
+    assert 0 < len(want) < len(every)
+    one = N.cosine_pairs(df, len(texts), told=told)
+    assert "array<" not in one._jdf.queryExecution().analyzed().treeString()
+    monkeypatch.setattr(N, "PASS_NAMES", 50)
+    for got in (one.collect(), N.cosine_pairs(df, len(texts), told=told).collect()):
+        assert len(got) == len(want) and {(r["a"], r["b"]): r["sim"] for r in got} == want
+    for texts in (["ab. cd", "x", "漢字語 é"], ["x𐐀y zzzzz", "a"], []):
+        owner, codes = N.text_codes(texts)
+        assert [codes[owner == k].tolist() for k in range(len(texts))] == [N._codes(t.split(" ")) for t in texts]
+
+
 def test_average_linkage(spark):
     rng = random.Random(8)
     pairs = {(a, b): round(rng.random(), 3) for a in range(14) for b in range(a + 1, 14) if rng.random() < 0.45}
