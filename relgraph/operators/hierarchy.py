@@ -119,6 +119,28 @@ class Hierarchy:
             "node", F.coalesce("looped", F.lit(False)).alias("in_cycle"), "depth", "max_depth", "n_paths", F.col("path")[0].alias("root"), "path"
         )
 
+    def _walked(self, starts: DataFrame):
+        """Tables of the places at the ends of walks of 0, 1, 2, ... links from starts (place and, if wanted, root), each
+        place once a length. Places make no cycle, so walks come to an end; one small job a length, and no table of one
+        length rests on another's."""
+        _, links = self._condense()
+        keys = [c for c in starts.columns if c != "place"]
+        with shuffles_of(self.spark, self._partitions()):
+            level = materialize(starts.select(*keys, "place", F.lit(True).alias("more")).distinct())
+            while level.rows:
+                yield level
+                met = level.df.where("more").drop("more").join(links, F.col("place") == F.col("src"))
+                level = materialize(met.select(*keys, F.col("dst").alias("place"), links["more"]).distinct())
+
+    def longest(self) -> DataFrame:
+        """One row: longest, the number of links on the longest way between places; null without links."""
+        length = None
+        for length, level in enumerate(self._walked(self._roots())):
+            if length:
+                before.drop()
+            before = level
+        return self.spark.range(1).select(F.lit(length).cast("int").alias("longest"))
+
     def _reached(self, starts: DataFrame) -> DataFrame:
         """(root, node) of all places that each root (root, node) reaches, itself included; every pair is met once."""
         _, links = self._condense()

@@ -342,7 +342,7 @@ x AS (SELECT {PARENT} AS node UNION SELECT e.b FROM x JOIN e ON e.a = x.node), y
 SELECT node FROM x WHERE node <> {PARENT} INTERSECT SELECT node FROM y WHERE node <> {_SECOND}""",
 )
 _add(
-    "q27_longest_chain", lambda s, d: Hierarchy(dag_edges(s, d), "src", "dst").nodes().agg(F.max("max_depth").alias("longest")),
+    "q27_longest_chain", lambda s, d: Hierarchy(dag_edges(s, d), "src", "dst").longest(),
     f"""WITH RECURSIVE e AS (SELECT DISTINCT src, dst FROM {DAG_SQL}), w AS (SELECT DISTINCT src AS node, 0 AS depth FROM e WHERE src NOT IN (SELECT dst FROM e) UNION SELECT e.dst, w.depth + 1 FROM w JOIN e ON e.src = w.node)
 SELECT max(depth) AS longest FROM w""",
 )

@@ -39,6 +39,13 @@ def test_hierarchy_of_shared_and_cyclic_parts(spark):
     assert sorted(tuple(r) for r in h.roots().collect()) == [(1, 1), (2, 1), (3, 1), (4, 1), (5, 5)]
 
 
+def test_hierarchy_longest_way(spark):
+    """Only what the question needs: no paths, no counts of ways."""
+    rows = [(1, 2), (2, 3), (3, 2), (3, 4), (4, 5), (1, 5), (9, 5), (5, 6)]
+    assert [r["longest"] for r in Hierarchy(edges(spark, rows), "src", "dst").longest().collect()] == [4]
+    assert [r["longest"] for r in Hierarchy(edges(spark, []), "src", "dst").longest().collect()] == [None]
+
+
 def test_hierarchy_empty_and_random(spark):
     none = Hierarchy(spark.createDataFrame([], "p int, c int"), "p", "c")
     assert none.cycles().count() == none.nodes().count() == none.below().count() == none.roots().count() == 0
