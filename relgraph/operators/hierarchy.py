@@ -141,6 +141,17 @@ class Hierarchy:
             before = level
         return self.spark.range(1).select(F.lit(length).cast("int").alias("longest"))
 
+    def spans(self) -> DataFrame:
+        """root, deepest, n: for every root the number of links on its longest way and the number of nodes it reaches,
+        itself included. A node below several roots counts for each."""
+        places, _ = self._condense()
+        levels = [x.df.select("root", "place", F.lit(k).alias("length")) for k, x in enumerate(self._walked(self._roots().select(F.col("place").alias("root"), "place")))]
+        if not levels:
+            return self.edges.select(F.col("src").alias("root"), F.lit(0).alias("deepest"), F.lit(0).cast("long").alias("n")).limit(0)
+        per_place = reduce(DataFrame.unionAll, levels).groupBy("root", "place").agg(F.max("length").alias("length"))
+        sizes = places.groupBy("place").agg(F.count(F.lit(1)).alias("size"))
+        return per_place.join(sizes, "place").groupBy("root").agg(F.max("length").alias("deepest"), F.sum("size").alias("n"))
+
     def _reached(self, starts: DataFrame) -> DataFrame:
         """(root, node) of all places that each root (root, node) reaches, itself included; every pair is met once."""
         _, links = self._condense()

@@ -291,7 +291,7 @@ _add(
 # Graph operators with joins around them ------------------------------------------------------------------------------
 
 _add(
-    "q16_depth_per_root", lambda s, d: Hierarchy(dag_edges(s, d), "src", "dst").nodes().groupBy("root").agg(F.max("max_depth").alias("deepest"), F.count(F.lit(1)).alias("n")),
+    "q16_depth_per_root", lambda s, d: Hierarchy(dag_edges(s, d), "src", "dst").spans(),
     f"""WITH RECURSIVE e AS (SELECT DISTINCT src, dst FROM {DAG_SQL}), t AS (SELECT DISTINCT src AS node FROM e WHERE src NOT IN (SELECT dst FROM e)),
 w AS (SELECT node AS root, node, 0 AS depth FROM t UNION SELECT w.root, e.dst, w.depth + 1 FROM w JOIN e ON e.src = w.node)
 SELECT root, max(depth) AS deepest, count(DISTINCT node) AS n FROM w GROUP BY root""",

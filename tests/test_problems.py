@@ -46,6 +46,16 @@ def test_hierarchy_longest_way(spark):
     assert [r["longest"] for r in Hierarchy(edges(spark, []), "src", "dst").longest().collect()] == [None]
 
 
+def test_depth_per_root_counts_a_node_for_each_root(spark, tmp_path):
+    from relgraph.queries.catalogue import QUERIES
+
+    rows = [(1, 2), (2, 3), (3, 2), (3, 4), (4, 5), (1, 5), (9, 5), (5, 6)]
+    assert sorted(tuple(r) for r in Hierarchy(edges(spark, rows), "src", "dst").spans().collect()) == [(1, 4, 6), (9, 2, 3)]
+    assert Hierarchy(edges(spark, []), "src", "dst").spans().count() == 0
+    spark.createDataFrame([(5, 1), (7, 2)], "p_partkey long, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    assert sorted(tuple(r) for r in QUERIES["q16_depth_per_root"](spark, str(tmp_path)).collect()) == [(1, 1, 2), (2, 1, 3), (3, 1, 2)]
+
+
 def test_hierarchy_empty_and_random(spark):
     none = Hierarchy(spark.createDataFrame([], "p int, c int"), "p", "c")
     assert none.cycles().count() == none.nodes().count() == none.below().count() == none.roots().count() == 0
