@@ -24,6 +24,8 @@ CENTRALITIES = ("degree", "betweenness", "closeness", "pagerank")
 ALPHA, TOLERANCE, ITERATIONS = 0.85, 1e-6, 100
 #: Pairs of nodes that a block of searches may meet.
 PAIRS = 200_000_000
+#: Nodes that are sent to every task at once where pairs are listed, pairs that such a task lists, and tasks at most.
+PAIR_BLOCK, PAIR_ROWS, MOST_TASKS = 20_000, 20_000_000, 4_000
 #: PageRank iterations planned as one job.
 BLOCK = 4
 
@@ -464,12 +466,27 @@ class ResilienceResult:
 
     @property
     def disconnected_pairs(self) -> DataFrame:
-        """(a, b), a < b, of all neighbours cut off from each other: as many rows as pairs_cut, written out part against part."""
-        x = self.parts.select(F.col("node").alias("a"), F.col("part").alias("pa"))
-        y = self.parts.select(F.col("node").alias("b"), F.col("part").alias("pb"))
-        kinds = self.parts.select("part").distinct()
-        apart = kinds.select(F.col("part").alias("pa")).join(kinds.select(F.col("part").alias("pb")), F.col("pa") != F.col("pb"))
-        return x.join(apart, "pa").join(y, "pb").where(F.col("a") < F.col("b")).select("a", "b")
+        """(a, b), a < b, of all neighbours cut off from each other: as many rows as pairs_cut.
+
+        Every pair has an end outside the largest part. So those nodes, in blocks of PAIR_BLOCK, meet all nodes where
+        they lie: each node travels once a block, and pairs come out of the tasks that write them, without a shuffle.
+        """
+        n = self.parts.count()
+        largest = self.parts.groupBy("part").count().orderBy(F.desc("count"), "part").limit(1).select(F.col("part").alias("most"))
+        every = self.parts.select(F.col("node").alias("y"), F.col("part").alias("py")).join(F.broadcast(largest))
+        every = every.select("y", "py", (F.col("py") == F.col("most")).alias("inside"))
+        rest = every.where(~F.col("inside"))
+        blocks = max(1, -(-rest.count() // PAIR_BLOCK))
+        # Tasks of about PAIR_ROWS pairs, whatever the sizes in bytes say.
+        tasks = min(n, MOST_TASKS, max(1, -(-n * min(n, PAIR_BLOCK) // PAIR_ROWS)))
+        rest = rest.select(F.col("y").alias("x"), F.col("py").alias("px"), F.pmod(F.xxhash64("y"), F.lit(blocks)).cast("int").alias("block"))
+        met = []
+        spread = every.repartition(max(1, tasks), "y")
+        for k in range(blocks):
+            here = F.broadcast(rest.where(F.col("block") == k).select("x", "px"))
+            # A node of the largest part meets each other node once; of two others, the pair comes out where x is the smaller.
+            met.append(spread.join(here, (F.col("px") != F.col("py")) & (F.col("inside") | (F.col("x") < F.col("y")))).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
+        return reduce(DataFrame.unionAll, met)
 
 
 def resilience_analysis(spark: SparkSession, nodes: DataFrame | str | None, edges: DataFrame | str, edge_from_col, edge_to_col, node_to_remove: Any, id_column: str | Sequence[str] = "id", soft_delete_column: str | None = None, sql_filter: str | None = None) -> ResilienceResult:

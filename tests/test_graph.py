@@ -116,6 +116,18 @@ def test_random_graphs(spark, seed):
         assert math.isclose(x["score"], k / far * k / (len(ends) - 1) if far else 0.0)
 
 
+def test_pairs_are_listed_where_nodes_lie(spark, monkeypatch):
+    """No shuffle after the join that lists the pairs; nodes outside the largest part meet the others in blocks."""
+    monkeypatch.setattr(N, "PAIR_BLOCK", 2)
+    rows = [(99, k) for k in range(12)] + [(0, 1), (1, 2), (3, 4), (5, 6), (6, 7)]
+    r = N.resilience_analysis(spark, None, edges(spark, rows), "src", "dst", 99)
+    label = components([p for p in rows if 99 not in p] + [(k, k) for k in range(12)])
+    got = [tuple(x) for x in r.disconnected_pairs.collect()]
+    assert sorted(got) == [(a, b) for a in range(12) for b in range(a + 1, 12) if label[a] != label[b]] and len(got) == r.pairs_cut
+    plan = r.disconnected_pairs._jdf.queryExecution().sparkPlan().toString()
+    assert "NestedLoopJoin" in plan and "SortMergeJoin" not in plan
+
+
 def test_search_with_stops(spark):
     rng = random.Random(11)
     rows = sorted({(rng.randrange(20), rng.randrange(20)) for _ in range(45)})
