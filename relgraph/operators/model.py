@@ -36,6 +36,8 @@ class Limits:
     max_paths: int = 5_000_000
     #: Edges up to which betweenness sends them to every worker; more are joined.
     max_broadcast_edges: int = 2_000_000
+    #: Edges up to which a task may hold all of them as arrays, which come by a shuffle; more are joined.
+    max_task_edges: int = 40_000_000
 
     def depth(self, asked: int | None) -> int:
         """The depth to search to; None is any."""

@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from relgraph.operators.blocks import Placed, reach_counts
 from relgraph.operators.components import connected_labels
 from relgraph.operators.model import ANY_DEPTH, LIMITS, Graph, Limits, key_literal
 from relgraph.operators.paths import distances
@@ -41,16 +42,21 @@ def degree_centrality(links: DataFrame) -> DataFrame:
     return ends.select("node", (F.col("count") / F.lit(float(n - 1)) if n > 1 else F.lit(1.0)).alias("score"))
 
 
-def closeness_centrality(links: DataFrame, roots: DataFrame | None = None) -> DataFrame:
+def closeness_centrality(links: DataFrame, roots: DataFrame | None = None, limits: Limits = LIMITS) -> DataFrame:
     """node, score over the ways into each node, in edges, scaled by the share of nodes that reach it; 0 if none does.
 
-    roots (a column node) may name the nodes whose score is wanted. The searches run in blocks of so many roots that a
-    block meets about PAIRS nodes, and of each only one row a root stays.
+    roots (a column node) may name the nodes whose score is wanted. For all nodes, up to limits.max_task_edges, pairs are
+    counted in tasks that hold all edges (blocks.reach_counts). Else the searches run as joins, in blocks of so many roots
+    that a block meets about PAIRS nodes, and of each only one row a root stays.
     """
     held = materialize(links.select("src", "dst"))
     nodes = materialize(_ends(held.df))
     n = nodes.rows
     turned = held.df.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    if roots is None and n and held.rows <= limits.max_task_edges:
+        found, _ = reach_counts(turned, ANY_DEPTH)
+        far = found.groupBy(F.col("root").alias("node")).agg(F.sum("n").alias("reached"), F.sum(F.col("n") * F.col("depth")).alias("far"))
+        return nodes.df.join(far, "node", "left").select("node", F.coalesce(F.col("reached") / F.col("far") * F.col("reached") / F.lit(float(max(1, n - 1))), F.lit(0.0)).alias("score"))
     wanted = nodes.df if roots is None else nodes.df.join(roots.select("node"), "node", "left_semi")
     blocks = max(1, -(-n * n // PAIRS))
     parts = []
@@ -335,7 +341,7 @@ def scores_of(g: Graph, centrality_type: str, limits: Limits = LIMITS) -> DataFr
     plain = links.select("src", "dst")
     return {
         "degree": lambda: degree_centrality(plain),
-        "closeness": lambda: closeness_centrality(plain),
+        "closeness": lambda: closeness_centrality(plain, limits=limits),
         "betweenness": lambda: betweenness_centrality(links, limits),
         "pagerank": lambda: pagerank(links),
     }[centrality_type]()

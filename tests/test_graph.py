@@ -128,6 +128,26 @@ def test_pairs_are_listed_where_nodes_lie(spark, monkeypatch):
     assert "NestedLoopJoin" in plan and "SortMergeJoin" not in plan
 
 
+def test_counts_of_reach(spark, monkeypatch):
+    """Counts by depth, in blocks of roots and of edges, against searches one by one."""
+    from relgraph.operators import blocks
+
+    monkeypatch.setattr(blocks, "PORTION", 7)
+    rng = random.Random(12)
+    pairs = sorted({(rng.randrange(90), rng.randrange(90)) for _ in range(150)})
+    per_root, per_node = {}, {}
+    for v in {x for p in pairs for x in p}:
+        for u, k in reach(pairs, v, 3).items():
+            if k:
+                per_root[v, k] = per_root.get((v, k), 0) + 1
+                per_node[u, k] = per_node.get((u, k), 0) + 1
+    a, b = blocks.reach_counts(edges(spark, pairs), 3)
+    assert {tuple(x)[:2]: x["n"] for x in a.collect()} == per_root and {tuple(x)[:2]: x["n"] for x in b.collect()} == per_node
+    links = Graph.of(spark, None, edges(spark, pairs), "src", "dst").simple_edges()
+    by_joins, in_tasks = (N.closeness_centrality(links, limits=Limits(max_task_edges=k)) for k in (0, 40_000_000))
+    assert {x["node"]: round(x["score"], 12) for x in by_joins.collect()} == {x["node"]: round(x["score"], 12) for x in in_tasks.collect()}
+
+
 def test_search_with_stops(spark):
     rng = random.Random(11)
     rows = sorted({(rng.randrange(20), rng.randrange(20)) for _ in range(45)})
