@@ -11,10 +11,12 @@ from relgraph.operators import estimate as E
 from relgraph.operators import network as N
 from relgraph.operators import quality as V
 from relgraph.operators.aggregate import aggregate_paths, extended_cost
-from relgraph.operators.model import Graph
+from relgraph.operators.blocks import reach_counts
+from relgraph.operators.model import LIMITS, Graph
 from relgraph.operators.paths import PathResult, best_paths, path_distances, paths_within, shortest_path, tied_paths
 from relgraph.operators.traverse import fetch_edges_for_frontier, fetch_nodes, multi_source, traverse, traverse_collecting, traverse_graph
 from relgraph.sources.derived import DAG_SQL, DAG_TOP, NET_SQL, dag_edges, net_edges, net_graph, parts_graph, supplier_graph, valid_rows, valid_sql
+from relgraph.sources.scratch import materialize
 from relgraph.sources.copytext import copy_lines
 from relgraph.sources.tables import table
 from relgraph.streaming.degrees import run_available, streaming_degrees
@@ -309,7 +311,12 @@ _add("g5_paths_within", g5_paths_within, _BOUNDED)
 def _multi_depth(graph):
     def run(spark: SparkSession, d: str) -> DataFrame:
         starts = table(spark, d, "supplier").select(F.col("s_suppkey").alias("root"))
-        return multi_source(graph(spark, d), starts, max_depth=DEPTH).groupBy("root").agg(F.count(F.lit(1)).alias("reached"), F.max("depth").alias("depth"))
+        links = materialize(graph(spark, d).simple_edges().select("src", "dst"))
+        if links.rows > LIMITS.max_task_edges:
+            return multi_source(graph(spark, d), starts, max_depth=DEPTH).groupBy("root").agg(F.count(F.lit(1)).alias("reached"), F.max("depth").alias("depth"))
+        found, _ = reach_counts(links.df, DEPTH)
+        per = found.groupBy("root").agg(F.sum("n").alias("more"), F.max("depth").alias("deepest"))
+        return starts.distinct().join(per, "root", "left").select("root", (F.coalesce("more", F.lit(0)) + 1).alias("reached"), F.coalesce("deepest", F.lit(0)).alias("depth"))
 
     return run
 
