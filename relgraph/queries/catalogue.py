@@ -6,14 +6,16 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from relgraph.operators.aggregate import aggregate_paths
+from relgraph.operators.blocks import reach_counts
 from relgraph.operators.hierarchy import Hierarchy
-from relgraph.operators.model import ANY_DEPTH, Graph
+from relgraph.operators.model import ANY_DEPTH, LIMITS, Graph
 from relgraph.operators.network import degree_centrality, isolates
 from relgraph.operators.paths import distances, path_distances
 from relgraph.operators.quality import mutual_pairs
 from relgraph.operators.traverse import multi_source, traverse_graph
 from relgraph.queries.graph import _DISTANCES_SQL, _END, _LAST, _SHOW, _START, BOM, DAG_SQL, NET_SQL, PARENT, ROUNDS, _edges_sql, _levels_sql, _net_sql, _one_path, _parent, _reach_sql, _relaxed_sql, whole_explosion
 from relgraph.sources.derived import DAG_TOP, dag_edges, net_edges, net_graph, parts_graph, supplier_graph, valid_rows, valid_sql
+from relgraph.sources.scratch import materialize
 from relgraph.sources.tables import table
 
 QUERIES: dict = {}
@@ -300,6 +302,10 @@ SELECT root, max(depth) AS deepest, count(DISTINCT node) AS n FROM w GROUP BY ro
 
 def q18_shared_reach(spark: SparkSession, d: str) -> DataFrame:
     """How many suppliers reach each one within two steps, where more than one does."""
+    links = materialize(net_edges(spark, d).select("src", "dst"))
+    if links.rows <= LIMITS.max_task_edges:
+        _, reached = reach_counts(links.df, 2)
+        return reached.groupBy("node").agg(F.sum("n").alias("roots")).where(F.col("roots") > 1)
     starts = table(spark, d, "supplier").select(F.col("s_suppkey").alias("root"))
     reach = multi_source(net_graph(spark, d), starts, max_depth=2).where("depth > 0")
     return reach.groupBy("node").agg(F.count_distinct("root").alias("roots")).where(F.col("roots") > 1)
