@@ -2,6 +2,7 @@ import datetime
 import math
 import random
 
+import numpy as np
 import pytest
 from graphs import betweenness, components, edges, groups, nodes, reach, simple_paths
 
@@ -148,6 +149,26 @@ def test_counts_of_reach(spark, monkeypatch):
     assert {x["node"]: round(x["score"], 12) for x in by_joins.collect()} == {x["node"]: round(x["score"], 12) for x in in_tasks.collect()}
 
 
+def test_betweenness_in_tasks_and_by_joins(spark):
+    """Beyond what is broadcast the edges are shuffled to tasks, and joined beyond that, with the same scores."""
+    rng = random.Random(13)
+    pairs = sorted({(rng.randrange(40), rng.randrange(40)) for _ in range(160)})
+    rows = [(a, b, float(rng.randrange(1, 5))) for a, b in pairs if a != b]
+    for weight in (None, "w"):
+        links = Graph.of(spark, None, edges(spark, rows), "src", "dst", weight=weight).simple_edges()
+        got = [{x["node"]: round(x["score"], 9) for x in N.betweenness_centrality(links, Limits(max_broadcast_edges=a, max_task_edges=b)).collect()} for a, b in ((0, 0), (0, 1000), (1000, 0))]
+        assert got[0] == got[1] == got[2] and any(got[0].values())
+    # Nearest first: a search stops once every node is reached, and heavy edges are not looked at.
+    n = 400
+    s, d = (x.ravel() for x in np.meshgrid(np.arange(n), np.arange(n)))
+    s, d = s[s != d], d[s != d]
+    seen = N.Adjacency(n, s, d, None).hops(0)
+    assert len(seen) == 1 and len(seen[0][0]) == n - 1
+    w = np.where((d - s) % n <= 9, 1.0, 1000.0)
+    a, b = (net := N.Adjacency(n, s, d, w)).cheapest(0)
+    assert ((b - a) % n <= 9).all() and len(np.unique(b)) == n - 1 and set(net._lighter) == {0}
+
+
 def test_search_with_stops(spark):
     rng = random.Random(11)
     rows = sorted({(rng.randrange(20), rng.randrange(20)) for _ in range(45)})
