@@ -31,19 +31,29 @@ class Placed:
         """run(n, task, tasks, s, d, w) in every task, with all edges as arrays; it yields record batches.
 
         There is a task a core, or one for 16 nodes if that is fewer. Each gets its copy of the edges by a shuffle, so
-        nothing goes by way of the driver.
+        nothing goes by way of the driver; many edges make a row there, each place in as few bytes as the largest takes.
         """
         spark, n, weighted = self.edges.df.sparkSession, self.nodes.rows, self.weighted
         tasks = max(1, min(spark.sparkContext.defaultParallelism, n // 16))
 
+        kinds = {"s": np.min_scalar_type(n), "d": np.min_scalar_type(n)} | ({"w": np.dtype(float)} if weighted else {})
+
+        def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                yield pa.RecordBatch.from_pydict({c: [b[c].to_numpy().astype(kind).tobytes()] for c, kind in kinds.items()})
+
+        def unpacked(held: list[pa.RecordBatch]) -> list[np.ndarray | None]:
+            out = [np.concatenate([np.frombuffer(x.as_buffer(), kind) for b in held for x in b[c]], dtype=float if c == "w" else np.int32) for c, kind in kinds.items()]
+            held.clear()
+            return out if weighted else [*out, None]
+
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held = [b for b in batches if b.num_rows]
             if held:
-                t = pa.Table.from_batches(held)
-                copy = t["copy"][0].as_py()
-                yield from run(n, copy, tasks, t["s"].to_numpy(), t["d"].to_numpy(), t["w"].to_numpy() if weighted else None)
+                yield from run(n, held[0]["copy"][0].as_py(), tasks, *unpacked(held))
 
-        copies = self.edges.df.join(F.broadcast(spark.range(tasks).select(F.col("id").cast("int").alias("copy"))))
+        packed = self.edges.df.mapInArrow(pack, ", ".join(f"{c} binary" for c in kinds))
+        copies = packed.join(F.broadcast(spark.range(tasks).select(F.col("id").cast("int").alias("copy"))))
         return copies.repartitionById(tasks, "copy").mapInArrow(work, schema)
 
 

@@ -226,34 +226,23 @@ class Adjacency:
         return sum(len(np.unique(b)) for _, b in self.hops(source)) == self.n - 1
 
     def betweenness(self, source: int) -> np.ndarray:
-        """What the ways from one source contribute to the betweenness of all nodes."""
-        if self.weight is not None and (self.weight <= 0).any():
+        """What the cheapest ways from one source contribute to the betweenness of all nodes."""
+        if (self.weight <= 0).any():
             return self._with_free_edges(source)
-        if self.weight is None:
-            levels = self.hops(source)
-            ways = np.zeros(self.n)
-            ways[source] = 1.0
-            for a, b in levels:
-                ways += np.bincount(b, ways[a], self.n)
-            owed = np.zeros(self.n)
-            for a, b in reversed(levels):
-                owed += np.bincount(a, ways[a] / ways[b] * (1 + owed[b]), self.n)
-        else:
-            a, b = self.cheapest(source)
-            # Such edges make no cycle, so walks of each length add up and come to an end.
-            step = np.zeros(self.n)
-            step[source] = 1.0
-            ways = step.copy()
-            while len(a) and (step := np.bincount(b, step[a], self.n)).any():
-                ways += step
-            step = share = ways[a] / ways[b]
-            owed = np.bincount(a, share, self.n)
-            total = owed.copy()
-            while len(a) and (owed := np.bincount(a, share * owed[b], self.n)).any():
-                total += owed
-            owed = total
-        owed[source] = 0.0
-        return owed
+        a, b = self.cheapest(source)
+        # Such edges make no cycle, so walks of each length add up and come to an end.
+        step = np.zeros(self.n)
+        step[source] = 1.0
+        ways = step.copy()
+        while len(a) and (step := np.bincount(b, step[a], self.n)).any():
+            ways += step
+        step = share = ways[a] / ways[b]
+        owed = np.bincount(a, share, self.n)
+        total = owed.copy()
+        while len(a) and (owed := np.bincount(a, share * owed[b], self.n)).any():
+            total += owed
+        total[source] = 0.0
+        return total
 
     def _with_free_edges(self, source: int) -> np.ndarray:
         """As betweenness(); a node is done once, in order of distance, so that circles that cost nothing end."""
@@ -284,6 +273,83 @@ class Adjacency:
         return owed
 
 
+class Fans:
+    """For each place from 0 to n - 1 the places at the other ends of its edges, one place after the other."""
+
+    def __init__(self, n: int, here: np.ndarray, there: np.ndarray):
+        key = here.astype(np.min_scalar_type(n * n))
+        key *= n
+        np.add(key, there, out=key, dtype=key.dtype, casting="unsafe")
+        key.sort()
+        self.start = np.r_[np.searchsorted(key, np.arange(n, dtype=key.dtype) * key.dtype.type(n)), len(key)]
+        self.size = np.diff(self.start)
+        key %= n
+        self.there = key.astype(np.min_scalar_type(n))
+
+    def of(self, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """How many edges each node has, where they begin in what comes last, and their other ends."""
+        begin, size = self.start[nodes], self.size[nodes]
+        first = np.cumsum(size) - size
+        total = int(size.sum())
+        if total > 64 * len(nodes):
+            return size, first, np.concatenate([self.there[i:j] for i, j in zip(begin.tolist(), (begin + size).tolist(), strict=True)], dtype=np.intp)
+        return size, first, self.there[np.repeat(begin - first, size) + np.arange(total)].astype(np.intp)
+
+
+class HopAdjacency:
+    """Edges without weights between places 0 to n - 1, by where they start and by where they end, in a few bytes each."""
+
+    def __init__(self, n: int, src: np.ndarray, dst: np.ndarray):
+        self.n, self.leaving, self.entering = n, Fans(n, src, dst), Fans(n, dst, src)
+
+    def betweenness(self, source: int) -> np.ndarray:
+        """What the ways of fewest edges from one source contribute to the betweenness of all nodes.
+
+        A level follows the edges that leave the last one, or those that enter what is not reached yet, if they are fewer.
+        Ways are added up, and on the way back shared out, by node where the edges of a node lie side by side.
+        """
+        n, leaving, entering = self.n, self.leaving, self.entering
+        ways, bare = np.zeros(n), np.ones(n, dtype=bool)
+        ways[source], bare[source] = 1.0, False
+        left = len(entering.there) - entering.size[source]
+        front, levels = np.array([source]), []
+        while left and len(front := front[leaving.size[front] > 0]):
+            if leaving.size[front].sum() <= left:
+                size, first, there = leaving.of(front)
+                got = np.bincount(there, np.repeat(ways[front], size), n)
+                got[~bare] = 0.0
+                new = np.flatnonzero(got)
+                ways[new] = got[new]
+                levels.append((front, new, there, first, None))
+            else:
+                ends = np.flatnonzero(bare & (entering.size > 0))
+                size, first, there = entering.of(ends)
+                near = np.zeros(n)
+                near[front] = ways[front]
+                got = np.add.reduceat(near[there], first)
+                met = got > 0
+                new = ends[met]
+                ways[new] = got[met]
+                levels.append((front, new, there, size, met))
+            bare[new] = False
+            left -= entering.size[new].sum()
+            front = new
+        owed = np.zeros(n)
+        for front, new, there, by_node, met in reversed(levels):
+            part = np.zeros(n if met is None else len(met))
+            part[new if met is None else met] = (1 + owed[new]) / ways[new]
+            if met is None:
+                owed[front] = ways[front] * np.add.reduceat(part[there], by_node)
+            else:
+                owed[front] = ways[front] * np.bincount(there, np.repeat(part, by_node), n)[front]
+        owed[source] = 0.0
+        return owed
+
+
+def _searched(n: int, src: np.ndarray, dst: np.ndarray, weight: np.ndarray | None) -> Adjacency | HopAdjacency:
+    return HopAdjacency(n, src, dst) if weight is None else Adjacency(n, src, dst, weight)
+
+
 def _betweenness_local(links: DataFrame, weighted: bool) -> DataFrame:
     """Sources spread over tasks, each with the whole adjacency, whose size the caller has checked."""
     pdf = links.select("src", "dst", *(["w"] if weighted else [])).toPandas()
@@ -293,7 +359,7 @@ def _betweenness_local(links: DataFrame, weighted: bool) -> DataFrame:
     shared = links.sparkSession.sparkContext.broadcast((n, s, d, pdf["w"].to_numpy(float) if weighted else None))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        score, edges = np.zeros(n), Adjacency(*shared.value)
+        score, edges = np.zeros(n), _searched(*shared.value)
         for pdf in batches:
             for v in pdf["id"]:
                 score += edges.betweenness(int(v))
@@ -312,7 +378,8 @@ def _betweenness_in_tasks(links: DataFrame) -> DataFrame:
     placed = Placed(links)
 
     def run(n: int, task: int, tasks: int, s: np.ndarray, d: np.ndarray, w: np.ndarray | None) -> Iterator[pa.RecordBatch]:
-        score, edges = np.zeros(n), Adjacency(n, s, d, w)
+        score, edges = np.zeros(n), _searched(n, s, d, w)
+        del s, d, w
         for v in range(task, n, tasks):
             score += edges.betweenness(v)
         at = np.flatnonzero(score)

@@ -1,8 +1,11 @@
 import datetime
 import math
 import random
+import tracemalloc
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from graphs import betweenness, components, edges, groups, nodes, reach, simple_paths
 
@@ -10,6 +13,7 @@ from pyspark.sql import functions as F
 
 from relgraph.operators import network as N
 from relgraph.operators.aggregate import OPERATIONS, aggregate_paths, is_acyclic, path_aggregate
+from relgraph.operators.blocks import Placed
 from relgraph.operators.components import strong_groups
 from relgraph.operators.model import Graph, Limits, SafetyLimitExceeded, SubgraphTooLarge
 from relgraph.operators.paths import all_shortest_paths, best_paths, distances, paths_within, shortest_path
@@ -169,6 +173,60 @@ def test_betweenness_in_tasks_and_by_joins(spark):
     assert ((b - a) % n <= 9).all() and len(np.unique(b)) == n - 1
 
 
+def test_hops_in_few_bytes_and_by_node():
+    """Unweighted searches against those one edge after the other: thin, dense and torn graphs, and one beyond 2 ** 16 places."""
+
+    def plain(n, out, source):
+        depth, ways, order = {source: 0}, Counter({source: 1.0}), [source]
+        for a in order:
+            for b in out[a]:
+                if b not in depth:
+                    depth[b] = depth[a] + 1
+                    order.append(b)
+                if depth[b] == depth[a] + 1:
+                    ways[b] += ways[a]
+        owed = np.zeros(n)
+        for a in reversed(order):
+            owed[a] = sum(ways[a] / ways[b] * (1 + owed[b]) for b in out[a] if depth[b] == depth[a] + 1)
+        owed[source] = 0.0
+        return owed
+
+    rng = np.random.default_rng(14)
+    for n, m in ((1, 1), (12, 20), (15, 60), (16, 90), (40, 50), (60, 3_000), (300, 9_000), (90_000, 200_000)):
+        s, d = (x.astype(np.int32) for x in np.unique(rng.integers(0, n, (m, 2)), axis=0).T)
+        out = [[] for _ in range(n)]
+        for a, b in zip(s.tolist(), d.tolist(), strict=True):
+            out[a].append(b)
+        edges_ = N.HopAdjacency(n, s, d)
+        for v in range(0, n, max(1, n // 12)):
+            assert np.allclose(edges_.betweenness(v), plain(n, out, v), rtol=1e-9, atol=1e-9)
+    # Nodes beyond the first level are met over the edges into them, whichever they are.
+    n = 400
+    s, d = (x.ravel().astype(np.int32) for x in np.meshgrid(np.arange(n), np.arange(n)))
+    kept = (s != d) & ((s > 0) | (d < 390))
+    tracemalloc.start()
+    owed = N.HopAdjacency(n, s[kept], d[kept]).betweenness(0)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.allclose(owed[1:390], 10 / 389) and not owed[390:].any() and most < 24 * kept.sum()
+
+
+def test_edges_travel_packed(spark):
+    """Tasks get all edges in fewer rows than there are edges, weighted or not."""
+    rows = [(a, b, a + b / 100) for a in range(40) for b in range(40)]
+    for weighted in (False, True):
+        links = edges(spark, rows).select("src", "dst", *["w"] * weighted)
+        placed = Placed(links)
+
+        def run(n, task, tasks, s, d, w):
+            got = sorted(zip(s.tolist(), d.tolist(), [0.0] * len(s) if w is None else w.tolist(), strict=True))
+            yield pa.RecordBatch.from_pydict({"task": [task], "all": [got == sorted((a, b, c if w is not None else 0.0) for a, b, c in rows)]})
+
+        done = placed.in_tasks(run, "task long, all boolean")
+        assert sorted((x["task"], x["all"]) for x in done.collect()) == [(k, True) for k in range(2)]
+        assert done._jdf.queryExecution().analyzed().toString().count("MapInArrow") == 2
+
+
 def test_search_with_stops(spark):
     rng = random.Random(11)
     rows = sorted({(rng.randrange(20), rng.randrange(20)) for _ in range(45)})
